@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .byte_bpe import round_trip
+from .common import shared_folder, table
 from .mpeg_audio import store_texts
+from .token_counts import token_counts
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"  # of this run: a kept one would hide the work
+    return token_counts(table(spark, sf_dir, "documents"), cache)
 
 
 def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
