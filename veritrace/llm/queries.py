@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip
 from .common import shared_folder, table
+from .language_id import identify
 from .mpeg_audio import store_texts
 from .token_counts import token_counts
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
