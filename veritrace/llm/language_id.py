@@ -34,7 +34,7 @@ DISCOUNT = 0.75
 ALPHABET = 4096  # the uniform floor spreads its mass over so many characters
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 200_000
-MARGIN = 1.25  # a limit is this times the quantile of the calibration rows
+MARGIN = 1.6  # a limit is this times the quantile of the calibration rows: passages in a second language stay in
 QUANTILE = 0.999
 SLACK = 24.0  # bits that a text may spend beyond its limit: short texts are kept on thin evidence
 BLOCK = 1 << 16  # characters scored at once: arrays that fit a core's cache
