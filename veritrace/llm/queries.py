@@ -11,6 +11,7 @@ from .byte_bpe import round_trip
 from .common import shared_folder, table
 from .language_id import identify
 from .mpeg_audio import store_texts
+from .simhash_dedup import simhash_components
 from .token_counts import token_counts
 
 
@@ -22,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"  # of this run: a kept one would hide the work
     return token_counts(table(spark, sf_dir, "documents"), cache)
