@@ -96,3 +96,31 @@ def arrow_map(df: DataFrame, each: Callable[[], Callable[[list], list[tuple]]],
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in kept] + made, kept + names)
 
     return df.mapInArrow(run, full)
+
+
+def arrow_explode(df: DataFrame, each: Callable[[], Callable[[list], tuple[list[int], list]]], read: str, schema: T.StructType, binary: bool = False, size: int = SLICE) -> DataFrame:
+    """As arrow_map, but a value gives any number of rows: the function returns how many each value gave and the
+    columns of all of them, as arrays or lists."""
+    keep = [f for f in df.schema.fields if f.name != read]
+    full = T.StructType([*keep, *schema.fields])
+    kept, names = [f.name for f in keep], [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        work = None
+        for whole in batches:
+            work = work or each()
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                values = batch.column(batch.schema.get_field_index(read))
+                if binary:
+                    values = values.cast(pa.binary())
+                counts, columns = work(values.to_pylist())
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)).take(rows) for k in kept] + made, kept + names)
+
+    return df.mapInArrow(run, full)
