@@ -12,6 +12,7 @@ from .chunk_dedup import repeated_spans
 from .common import shared_folder, table
 from .decontaminate import contaminated
 from .language_id import identify
+from .lm_score import lm_scores
 from .mpeg_audio import store_texts
 from .quality_model import classify
 from .simhash_dedup import simhash_components
@@ -34,6 +35,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"  # of this run: a kept one would hide the work
     return token_counts(table(spark, sf_dir, "documents"), cache)
