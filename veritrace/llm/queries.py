@@ -12,6 +12,7 @@ from .chunk_dedup import repeated_spans
 from .common import shared_folder, table
 from .decontaminate import contaminated
 from .language_id import identify
+from .line_dedup import line_report
 from .lm_score import lm_scores
 from .mpeg_audio import store_texts
 from .quality_model import classify
@@ -48,6 +49,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
