@@ -102,7 +102,7 @@ def votes(text: str | None) -> tuple[str, str]:
 
 @dataclass
 class LabelModel:
-    """Class prior and, by class and labeller, the probabilities of the votes bad, good and none."""
+    """Class prior and, by class and labeller, the probabilities of the votes bad and good of those who vote."""
 
     prior: float
     table: np.ndarray
@@ -119,7 +119,9 @@ class LabelModel:
             table = []
             for share in (1 - q, q):
                 mass = np.einsum("p,plv->lv", weight * share, shown) + 0.5
-                table.append(mass / mass.sum(axis=1, keepdims=True))
+                mass[:, :2] /= mass[:, :2].sum(axis=1, keepdims=True)
+                mass[:, 2] = 1  # who abstains says nothing
+                table.append(mass)
             model = cls(float(np.clip((weight * q).sum() / weight.sum(), 1e-4, 1 - 1e-4)), np.stack(table))
             new = model.posterior(patterns)
             if np.abs(new - q).max() < 1e-6:
@@ -153,41 +155,49 @@ def _places(word: str) -> tuple[int, int]:
     return known
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: words and shapes by root of their share, and the share of words that repeat the one before."""
+def features(text: str | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Buckets and values by scorer. Quality: words and shapes by the root of their share, and how many words repeat the
+    one before. Toxicity: which words are there, since one is enough in however long a text."""
     words = (text or "").split()
     if not words:
-        return np.zeros(1, np.int64), np.ones(1, np.float32)
+        return {"quality": (np.zeros(1, np.int64), np.ones(1, np.float32)), "toxic": (np.zeros(1, np.int64), np.ones(1, np.float32))}
     counts = Counter(words)
     places = np.array([_places(w) for w in counts], np.int64)
     share = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)) / len(words))
     repeat = sum(map(eq, words, words[1:])) / len(words)
     shapes, which = np.unique(places[:, 1], return_inverse=True)
     kinds = np.sqrt(np.bincount(which, share**2)).astype(np.float32)
-    at = np.concatenate((places[:, 0], shapes, [0, 1])) % BUCKETS
-    return at, np.concatenate((share, kinds, [1.0, 4 * repeat])).astype(np.float32)
+    own = np.unique(places[:, 0])
+    at = np.concatenate((places[:, 0], shapes, [0, 1]))
+    return {
+        "quality": (at, np.concatenate((share, kinds, [1.0, 4 * repeat])).astype(np.float32)),
+        "toxic": (np.concatenate((own, [0])), np.concatenate((np.ones(len(own)), [1.0])).astype(np.float32)),
+    }
 
 
-def fit_scorer(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
+def fit_scorer(name: str, texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
     """Weights of a logistic scorer by adaptive gradient steps, in a fixed order."""
-    rows = [features(t) for t in texts]
+    rows = [features(t)[name] for t in texts]
     weights, seen = np.zeros(BUCKETS, np.float32), np.full(BUCKETS, 1e-3, np.float32)
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             at, value = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(weights[at] @ value, -30, 30)))
-            step = (p - labels[i]) * value
+            step = (_logistic(weights[at] @ value) - labels[i]) * value
             seen[at] += step * step
             weights[at] -= rate * step / np.sqrt(seen[at])
     return weights
 
 
-def score(models: list[np.ndarray], texts: list[str | None]) -> list[tuple[float, ...]]:
+def _logistic(x: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+
+def score(models: dict[str, np.ndarray], texts: list[str | None]) -> list[tuple[float, ...]]:
     """Probabilities of each text under each scorer."""
     out = []
     for t in texts:
-        at, value = features(t)
-        out.append(tuple(float(1 / (1 + np.exp(-np.clip(w[at] @ value, -30, 30)))) for w in models))
+        own = features(t)
+        out.append(tuple(_logistic(w[own[name][0]] @ own[name][1]) for name, w in models.items()))
     return out
 
 
@@ -212,7 +222,7 @@ def _fit(sample: DataFrame, posteriors: dict[str, dict[str, float]]) -> dict[str
         name = pdf["name"].iloc[0]
         pdf = pdf.sort_values(["text"], na_position="first")
         labels = np.array([posteriors[name][p] for p in pdf["pattern"]])
-        return pd.DataFrame({"name": [name], "weights": [fit_scorer(list(pdf["text"]), labels).astype("<f4").tobytes()]})
+        return pd.DataFrame({"name": [name], "weights": [fit_scorer(name, list(pdf["text"]), labels).astype("<f4").tobytes()]})
 
     both = sample.select("text", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_votes").alias("pattern")) for n in posteriors])))
     return {r["name"]: np.frombuffer(bytes(r["weights"]), "<f4") for r in both.groupBy("name").applyInPandas(fit, _WEIGHTS).collect()}
@@ -236,7 +246,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     def each():
         own = shared.value
-        return lambda texts: list(score([own["quality"], own["toxic"]], texts))
+        return lambda texts: list(score({name: own[name] for name in ("quality", "toxic")}, texts))
 
     scored = arrow_map(rows, each, "text", SCORES, size=64)
     return scored.withColumn("keep", (F.col("quality_score") >= KEEP_QUALITY) & (F.col("toxic_score") < KEEP_TOXIC))
