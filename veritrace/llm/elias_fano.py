@@ -49,6 +49,7 @@ class EliasFano:
     low: np.ndarray
     high: np.ndarray
     ones: np.ndarray  # before each word of high, and in all
+    zeros: np.ndarray  # likewise
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -65,7 +66,8 @@ class EliasFano:
         if n:
             high[where] = np.bitwise_or.reduceat(_ONE << (places & 63).astype(np.uint64), first)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
-        return cls(n, width, _pack(values & np.uint64((1 << width) - 1), width), high, ones)
+        zeros = np.arange(len(ones)) * 64 - ones
+        return cls(n, width, _pack(values & np.uint64((1 << width) - 1), width), high, ones, zeros)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -84,9 +86,8 @@ class EliasFano:
 
     def _zeros_end(self, k: np.ndarray) -> np.ndarray:
         """How many values have a high part of at most k (k from -1): the ones before the zero of rank k."""
-        zeros = np.arange(len(self.ones)) * 64 - self.ones
-        word = np.minimum(np.searchsorted(zeros, np.maximum(k, 0), "right") - 1, len(self.high) - 1)
-        place = (word << 6) + _in_word(~self.high[word], np.maximum(k, 0) - zeros[word])
+        word = np.minimum(np.searchsorted(self.zeros, np.maximum(k, 0), "right") - 1, len(self.high) - 1)
+        place = (word << 6) + _in_word(~self.high[word], np.maximum(k, 0) - self.zeros[word])
         return np.where(k < 0, 0, place - k)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -98,22 +99,27 @@ class EliasFano:
         at, end = self._zeros_end(top - 1), self._zeros_end(top)
         low = values & np.uint64((1 << self.width) - 1)
         live = np.flatnonzero(at < end)
-        at, end, low = at[live], end[live], low[live]
-        while len(live):
-            here = self._lows(at)
-            same = here == low
-            out[live[same]] = at[same]
-            more = (here < low) & (at + 1 < end)
-            live, at, end, low = live[more], at[more] + 1, end[more], low[more]
+        at, last, low = at[live], end[live] - 1, low[live]
+        # values of one high part lie dense where a context has many children: halve what is left
+        while True:
+            open_ = np.flatnonzero(at < last)
+            if not len(open_):
+                break
+            mid = (at[open_] + last[open_]) >> 1
+            below = self._lows(mid) < low[open_]
+            at[open_] = np.where(below, mid + 1, at[open_])
+            last[open_] = np.where(below, last[open_], mid)
+        same = self._lows(at) == low
+        out[live[same]] = at[same]
         return out
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.shape": np.array([self.n, self.width], np.int64)}
+        return {f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones, f"{name}.zeros": self.zeros, f"{name}.shape": np.array([self.n, self.width], np.int64)}
 
     @classmethod
     def read(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, width = arrays[f"{name}.shape"].tolist()
-        return cls(n, width, *(arrays[f"{name}.{x}"] for x in ("low", "high", "ones")))
+        return cls(n, width, *(arrays[f"{name}.{x}"] for x in ("low", "high", "ones", "zeros")))
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -132,5 +138,5 @@ def mapped(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file that holds to_bytes(), memory-mapped."""
     with open(path, "rb") as f:
         line = f.readline()
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.asarray(np.memmap(path, np.uint8, "r"))
     return {name: whole[len(line) + at : len(line) + at + np.dtype(kind).itemsize * n].view(kind) for name, (kind, n, at) in json.loads(line).items()}
