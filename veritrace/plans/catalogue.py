@@ -1,9 +1,694 @@
-"""Registered queries over the test tables and the SQL that must agree with them."""
+"""Registered queries: each operator over the test tables, beside the SQL that must agree with it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .. import schemas as S
+from ..functions import text as X
+from ..operators import blocks, context, coverage, lookup, ordering, render, retrieval, symbols, verdict
+from ..sources import results
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name; sql: the statement whose rows it must give."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def big(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+def six(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# ---- documents: lines, blocks, numbers
+
+
+@query("SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents")
+def line_explode(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("int").alias("line_no"), "line")
+
+
+@query("""
+WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+s AS (SELECT doc_id, n, unnest(range(0, n, 10)) AS s FROM n)
+SELECT doc_id, CAST(s + 1 AS INT) AS start_line, CAST(least(s + 10, n) AS INT) AS end_line FROM s""")
+def block_hard_cut(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(blocks.hard_cuts(F.col("text"), 10)).alias("b"))
+    return rows.select("doc_id", F.col("b.start").cast("int").alias("start_line"), F.col("b.end").cast("int").alias("end_line"))
+
+
+@query("""
+WITH RECURSIVE h AS (
+  SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS o, CAST(1 + (l_partkey % 3) AS INT) AS lvl, 'T' || l_partkey AS t,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem),
+f AS (
+  SELECT k, o, rn, [t] AS p FROM h WHERE rn = 1
+  UNION ALL
+  SELECT h.k, h.o, h.rn, list_append(list_slice(f.p, 1, h.lvl - 1), h.t) FROM f JOIN h ON h.k = f.k AND h.rn = f.rn + 1)
+SELECT k AS l_orderkey, o AS line_no, array_to_string(p, ' / ') AS path FROM f""")
+def heading_path(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_no"), (1 + F.col("l_partkey") % 3).cast("int").alias("lvl"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("t"))
+    return blocks.heading_paths(rows, "l_orderkey", "line_no", "lvl", "t").select("l_orderkey", "line_no", F.array_join("path", " / ").alias("path"))
+
+
+_HINTED = " OR ".join(f"leaf LIKE '%{h}%'" for h in S.NON_REQUIREMENT_HINTS)
+
+
+@query(f"""
+WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'heading' ELSE 'para' END AS kind,
+  CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN p_type || '概述' ELSE p_type END AS leaf FROM part)
+SELECT p_partkey, kind <> 'heading' AND (leaf = '' OR NOT ({_HINTED})) AS likely FROM l""")
+def leaf_hints(spark, d):
+    p = table(spark, d, "part")
+    leaf = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("概述"))).otherwise(F.col("p_type"))
+    kind = F.when(F.col("p_partkey") % 4 == 0, "heading").otherwise("para")
+    return p.select("p_partkey", X.likely_requirement(kind, F.array(F.lit("top"), leaf)).alias("likely"))
+
+
+@query("""
+SELECT page_id, n, ref FROM (SELECT page_id, unnest(range(1, len(refs) + 1)) AS n, unnest(refs) AS ref FROM
+  (SELECT page_id, list_distinct_ordered AS refs FROM (
+     SELECT page_id, list(ref ORDER BY pos) AS list_distinct_ordered FROM (
+       SELECT page_id, ref, min(pos) AS pos FROM (
+         SELECT page_id, unnest(range(1, len(r) + 1)) AS pos, unnest(r) AS ref FROM (
+           SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS r FROM pages)) GROUP BY page_id, ref) GROUP BY page_id)))""")
+def link_extract(spark, d):
+    refs = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    marks = F.array_join(F.transform(refs, lambda r: F.concat(F.lit("![]("), r, F.lit(")"))), " ")
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(X.image_refs(marks)).alias("p", "ref"))
+    return rows.select("page_id", big(F.col("p") + 1).alias("n"), "ref")
+
+
+@query("SELECT tag, count(*) AS n_uses, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def tag_scan(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    return rows.groupBy("tag").agg(F.count("*").alias("n_uses"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS block_ord, printf('B%04d', row_number() OVER (ORDER BY doc_id)) AS id FROM documents")
+def block_ids(spark, d):
+    rows = ordering.dense_ids(table(spark, d, "documents").select("doc_id"), F.floor(F.col("doc_id") / 1024), [F.col("doc_id")], "block_ord")
+    return rows.select("doc_id", big("block_ord").alias("block_ord"), ordering.block_id(F.col("block_ord")).alias("id"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS a FROM documents),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY source, doc_id) AS rn FROM t WHERE a <> '') WHERE rn = 1)
+SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS item_ord, printf('R-%03d', row_number() OVER (ORDER BY source, doc_id)) AS id FROM f""")
+def item_collect_first(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").alias("pos"), F.col("text").alias("assertion"))
+    return results.collect_items(rows).select("doc_id", big("item_ord").alias("item_ord"), "id")
+
+
+@query("SELECT conv_id, role, turn, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM conversations WHERE trim(text) <> '') WHERE rn = 1")
+def verdict_last_wins(spark, d):
+    c = table(spark, d, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "role")).withColumn("file", F.lit("f")).withColumn("pos", F.col("turn"))
+    return results.last_per_item(c, "key", "text").select("conv_id", "role", "turn", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT count(DISTINCT source) AS n_filled FROM documents WHERE length(text) > 0")
+def result_files_filled(spark, d):
+    return results.filled_counts(table(spark, d, "documents").where("length(text) > 0").select(F.col("source").alias("file")))
+
+
+# ---- batches and budgets
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM (
+  SELECT *, sum(l_quantity) OVER w AS run, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
+WHERE run <= 60 OR rn = 1""")
+def budget_prefix(spark, d):
+    kept = ordering.within_budget(table(spark, d, "lineitem"), ["l_orderkey"], [F.col("l_linenumber")], F.col("l_quantity"), 60, keep_first=True)
+    return kept.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("""
+SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM (
+  SELECT l.*, o_custkey % 40 AS base, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS run
+  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)
+WHERE run + base <= 90""")
+def budget_precharged(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("base")), "l_orderkey")
+    kept = ordering.within_budget(rows, ["l_orderkey"], [F.col("l_linenumber")], F.col("l_quantity"), 90, base=F.col("base"))
+    return kept.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, o_orderpriority, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f,
+  (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 8 AS c FROM orders)
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY f, c) AS BIGINT) AS batch FROM r""")
+def chunk_batches(spark, d):
+    return ordering.chunked(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 8).select("o_orderkey", big("batch").alias("batch"))
+
+
+@query("""
+WITH RECURSIVE r AS (
+  SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS o, CAST(l_quantity AS BIGINT) AS c, l_returnflag AS s,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem),
+f AS (
+  SELECT k, o, rn, c AS cost, 1 AS n, s, 0 AS batch FROM r WHERE rn = 1
+  UNION ALL
+  SELECT k, o, rn, CASE WHEN new THEN c ELSE cost + c END, CASE WHEN new THEN 1 ELSE n + 1 END, s, CASE WHEN new THEN batch + 1 ELSE batch END FROM (
+    SELECT r.k, r.o, r.rn, r.c, r.s, f.cost, f.n, f.batch, f.cost + r.c > 60 OR f.n >= 4 OR (r.s <> f.s AND f.cost > 36) AS new
+    FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1))
+SELECT k AS l_orderkey, o AS line_no, CAST(batch AS INT) AS batch FROM f""")
+def greedy_binpack(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_no"), "l_quantity", "l_returnflag")
+    packed = ordering.greedy_batches(rows, ["l_orderkey"], "line_no", F.col("l_quantity"), F.col("l_returnflag"), 60, 4)
+    return packed.select("l_orderkey", "line_no", F.col("batch").cast("int").alias("batch"))
+
+
+# ---- paths and names
+
+_NORM = """regexp_replace(CASE WHEN length(q) > 1 AND q LIKE '%/' THEN left(q, length(q) - 1) ELSE q END, '\\{[^}]*\\}', '{}', 'g')"""
+_RAW_PATHS = "SELECT page_id, ' ' || CASE page_id % 3 WHEN 0 THEN '/shop//{item}' WHEN 1 THEN 'api/{x}/' ELSE '' END || regexp_replace(url, '^https?://[^/]*', '') || CASE page_id % 2 WHEN 0 THEN '/?a=1' ELSE '' END || ' ' AS p FROM pages"
+
+
+@query(f"""
+WITH raw AS ({_RAW_PATHS}),
+c AS (SELECT page_id, regexp_replace(regexp_replace(trim(p), '\\?.*$', ''), '/{{2,}}', '/', 'g') AS c FROM raw),
+q AS (SELECT page_id, CASE WHEN c LIKE '/%' THEN c ELSE '/' || c END AS q FROM c)
+SELECT page_id, {_NORM} AS norm FROM q""")
+def url_normalise(spark, d):
+    p = table(spark, d, "pages")
+    head = F.when(F.col("page_id") % 3 == 0, "/shop//{item}").when(F.col("page_id") % 3 == 1, "api/{x}/").otherwise("")
+    tail = F.when(F.col("page_id") % 2 == 0, "/?a=1").otherwise("")
+    raw = F.concat(F.lit(" "), head, F.regexp_replace("url", "^https?://[^/]*", ""), tail, F.lit(" "))
+    return p.select("page_id", X.norm_url(raw).alias("norm"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'ANY' END AS verb, '/order/' || (o_custkey % 50) || '/{id}' AS path FROM orders),
+w AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'GET' ELSE 'PUT' END AS http, 'order//' || (c_custkey % 60) || '/{key}/' AS path FROM customer)
+SELECT w.id, count(e.ord) AS n_hits, min(e.ord) AS first_hit FROM w LEFT JOIN e
+  ON regexp_replace(e.path, '\\{[^}]*\\}', '{}', 'g') = '/order/' || (w.id % 60) || '/{}' AND (w.http = '' OR e.verb = 'ANY' OR e.verb = w.http) GROUP BY w.id""")
+def url_lookup(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    verb = F.when(F.col("o_orderkey") % 3 == 0, "GET").when(F.col("o_orderkey") % 3 == 1, "POST").otherwise("ANY")
+    urls = o.select(F.col("o_orderkey").alias("ord"), F.concat(verb, F.lit(" /order/"), (F.col("o_custkey") % 50).cast("string"), F.lit("/{id}")).alias("key"))
+    http = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, "GET").otherwise("PUT")
+    wanted = c.select(F.col("c_custkey").alias("id"), http.alias("http"), F.concat(F.lit("order//"), (F.col("c_custkey") % 60).cast("string"), F.lit("/{key}/")).alias("path"))
+    return lookup.url_lookup(wanted, urls).groupBy("id").agg(F.count("ord").alias("n_hits"), F.min("ord").alias("first_hit"))
+
+
+@query("""
+WITH b AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '/' || lower(n_name) || '/' END AS base FROM nation),
+s AS (SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN '' ELSE '/' || lower(r_name) END AS sub FROM region)
+SELECT n_nationkey, 'POST ' || CASE WHEN base = '' AND sub = '' THEN '/' WHEN base = '' THEN sub WHEN sub = '' THEN base ELSE rtrim(base, '/') || '/' || ltrim(sub, '/') END AS key
+FROM b JOIN s ON n_regionkey = r_regionkey""")
+def url_register(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    bases = n.select("n_nationkey", F.col("n_regionkey").alias("owner"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise(F.concat(F.lit("/"), F.lower("n_name"), F.lit("/"))).alias("base"))
+    subs = r.select(F.col("r_regionkey").alias("owner"), F.when(F.col("r_regionkey") == 2, "").otherwise(F.concat(F.lit("/"), F.lower("r_name"))).alias("sub"), F.lit("POST").alias("http"))
+    return lookup.register_urls(bases, subs, ["owner"]).select("n_nationkey", "key")
+
+
+@query("""
+WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_partkey % 7 = 0),
+s AS (SELECT p_partkey AS ord, unnest(string_split(p_name, ' ')) AS name FROM part)
+SELECT t.name, count(s.ord) AS n_hits, min(s.ord) AS first_hit FROM t LEFT JOIN s ON t.name = s.name GROUP BY t.name""")
+def name_lookup(spark, d):
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_partkey").alias("ord"), F.explode(F.split("p_name", " ")).alias("name"))
+    wanted = names.where("ord % 7 = 0").select("name").distinct()
+    return lookup.exact_lookup(wanted, names, ["name"]).groupBy("name").agg(F.count("ord").alias("n_hits"), F.min("ord").alias("first_hit"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'x' || s_name WHEN 1 THEN upper(right(s_name, 4)) ELSE right(s_name, 2) END AS target FROM supplier),
+n AS (SELECT s_name AS name, min(s_suppkey) AS o FROM supplier GROUP BY s_name),
+c AS (SELECT target, name, o FROM t JOIN n ON (contains(lower(name), lower(target)) OR contains(lower(target), lower(name))) AND lower(name) <> lower(target))
+SELECT target, name, rank FROM (SELECT target, name, row_number() OVER (PARTITION BY target ORDER BY o, name) AS rank FROM c) WHERE rank <= 3""")
+def nearest_name(spark, d):
+    s = table(spark, d, "supplier")
+    target = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("x"), "s_name")).when(F.col("s_suppkey") % 3 == 1, F.upper(F.right("s_name", F.lit(4)))).otherwise(F.right("s_name", F.lit(2)))
+    names = s.groupBy(F.col("s_name").alias("name")).agg(F.min("s_suppkey").alias("name_ord"))
+    return lookup.nearest_names(s.select(target.alias("target")), names).select("target", "name", big("rank").alias("rank"))
+
+
+@query("""
+WITH u AS (SELECT '/' || lower(c_mktsegment) || (c_custkey % 9) || '/' || c_nationkey AS path, min(c_custkey) AS o FROM customer GROUP BY 1),
+t AS (SELECT DISTINCT '/' || lower(left(c_mktsegment, 4 + c_custkey % 3)) || '/none' AS target FROM customer)
+SELECT target, path, rank FROM (
+  SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY o, path) AS rank FROM t JOIN u ON starts_with(path, '/' || split_part(target, '/', 2))) WHERE rank <= 3""")
+def nearest_url(spark, d):
+    c = table(spark, d, "customer")
+    path = F.concat(F.lit("/"), F.lower("c_mktsegment"), (F.col("c_custkey") % 9).cast("string"), F.lit("/"), F.col("c_nationkey").cast("string"))
+    urls = c.groupBy(path.alias("path")).agg(F.min("c_custkey").alias("path_ord"))
+    missed = c.select(F.concat(F.lit("/"), F.lower(F.left("c_mktsegment", (4 + F.col("c_custkey") % 3).cast("int"))), F.lit("/none")).alias("target"))
+    return lookup.nearest_urls(missed, urls).select("target", "path", big("rank").alias("rank"))
+
+
+# ---- identifiers and static verdicts
+
+_ASSERTION_SQL = """SELECT p_partkey, 'Part ' || p_partkey || ': call GET /part/' || lower(split_part(p_name, ' ', 1)) || '/{partId} with PartQueryService and code ' || (10000 + p_partkey)
+  || ' or saveItem (x) then if (y); state ' || upper(replace(p_brand, '#', '')) || '_ON; field `retailPrice` of PartItemDTO.getPrice ok' AS a FROM part"""
+
+
+def _assertions(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    a = F.concat(
+        F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(": call GET /part/"), F.lower(F.substring_index("p_name", " ", 1)), F.lit("/{partId} with PartQueryService and code "),
+        (10000 + F.col("p_partkey")).cast("string"), F.lit(" or saveItem (x) then if (y); state "), F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("_ON; field `retailPrice` of PartItemDTO.getPrice ok"),
+    )
+    return p.select("p_partkey", a.alias("a"))
+
+
+@query(f"""
+SELECT p_partkey, array_to_string(regexp_extract_all(a, '(?:^|[^\\w/])(/[A-Za-z_{{][\\w\\-{{}}.]*(?:/[A-Za-z_{{][\\w\\-{{}}.]*)+)', 1), ',') AS paths,
+  array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Za-z0-9_]*(?:Service|DTO))\\b', 1), ',') AS types, 'getPrice' AS methods, 'retailPrice' AS fields,
+  '' AS error_codes, array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Z0-9]*_[A-Z0-9_]+)\\b', 1), ',') AS enums
+FROM ({_ASSERTION_SQL})""")
+def identifier_extract(spark, d):
+    rows = _assertions(spark, d).select("p_partkey", X.identifiers(F.col("a")).alias("i"))
+    joined = lambda f: F.array_join(F.col(f"i.{f}"), ",")
+    paths = F.array_join(F.transform("i.urls", lambda u: u["path"]), ",")
+    return rows.select("p_partkey", paths.alias("paths"), joined("types").alias("types"), joined("methods").alias("methods"), joined("fields").alias("fields"), joined("error_codes").alias("error_codes"), joined("enum_values").alias("enums"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'please post to ' WHEN 1 THEN 'fetch ' WHEN 2 THEN 'delete, if needed, ' ELSE repeat('x', 60) || ' put ' || repeat('y', 45) END || '/budget/item' || ' now' AS t FROM part),
+w AS (SELECT p_partkey, upper(substr(t, greatest(0, strpos(t, '/budget/item') - 1 - 40) + 1, strpos(t, '/budget/item') - 1 + 12 + 10 - greatest(0, strpos(t, '/budget/item') - 1 - 40))) AS w FROM t)
+SELECT p_partkey, CASE WHEN contains(w, 'GET') THEN 'GET' WHEN contains(w, 'POST') THEN 'POST' WHEN contains(w, 'PUT') THEN 'PUT' WHEN contains(w, 'DELETE') THEN 'DELETE' WHEN contains(w, 'PATCH') THEN 'PATCH' ELSE 'ANY' END AS http FROM w""")
+def http_guess(spark, d):
+    p = F.col("p_partkey")
+    far = F.lit("x" * 60 + " put " + "y" * 45)
+    head = F.when(p % 4 == 0, "please post to ").when(p % 4 == 1, "fetch ").when(p % 4 == 2, "delete, if needed, ").otherwise(far)
+    return table(spark, d, "part").select("p_partkey", X.guess_http(F.concat(head, F.lit("/budget/item now")), F.lit("/budget/item")).alias("http"))
+
+
+_STATIC_ITEMS = """SELECT p_partkey AS item, CASE WHEN p_partkey % 5 = 0 THEN 'behavior' ELSE 'existence' END AS kind,
+  CASE WHEN p_partkey % 7 = 0 THEN [] WHEN p_partkey % 3 = 0 THEN ['K' || p_size || 'Service', 'K' || (p_size + 40) || 'Service'] ELSE ['K' || p_size || 'Service'] END AS ids FROM part"""
+_STATIC_SQL = f"""
+WITH i AS ({_STATIC_ITEMS}),
+s AS (SELECT 'K' || (s_suppkey % 45) || 'Service' AS name, s_suppkey FROM supplier WHERE s_suppkey % 45 <> 7 AND s_suppkey < 70),
+c AS (SELECT item, unnest(ids) AS target FROM (SELECT item, list_distinct(ids) AS ids FROM i)),
+h AS (SELECT c.item, c.target, count(s.s_suppkey) AS n FROM c LEFT JOIN s ON s.name = c.target GROUP BY 1, 2),
+g AS (SELECT item, count(*) AS n, count(*) FILTER (n > 0) AS found, max(n) AS most FROM h GROUP BY item),
+v AS (SELECT i.item, CASE WHEN kind = 'behavior' OR g.n IS NULL THEN 'need_ai' WHEN found = 0 THEN 'missing' WHEN found = g.n AND most > 1 THEN 'ambiguous' WHEN found = g.n THEN 'implemented' ELSE 'partial' END AS verdict FROM i LEFT JOIN g ON i.item = g.item)"""
+
+
+def _static(spark: SparkSession, d: str) -> DataFrame:
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    name = lambda n: F.concat(F.lit("K"), n.cast("string"), F.lit("Service"))
+    one, two = name(F.col("p_size")), name(F.col("p_size") + 40)
+    said = F.when(F.col("p_partkey") % 7 == 0, "nothing").when(F.col("p_partkey") % 3 == 0, F.concat_ws(" and ", one, two)).otherwise(one)
+    items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 5 == 0, "behavior").otherwise("existence").alias("kind"), X.identifiers(said).alias("ids"))
+    none = lambda kind: F.lit(None).cast(kind)
+    code = s.where("s_suppkey % 45 <> 7 AND s_suppkey < 70").select(F.lit("types").alias("family"), F.col("s_suppkey").alias("sym_ord"), name(F.col("s_suppkey") % 45).alias("name"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.lit(1).alias("line"), none("string").alias("owner"), none("string").alias("handler"))
+    checked = lookup.run_checks(lookup.checks(items), code)
+    return lookup.static_verdicts(items, checked)
+
+
+@query(f"{_STATIC_SQL} SELECT item, verdict, CASE WHEN verdict IN ('missing', 'implemented') THEN 'static' ELSE 'ai' END AS route FROM v")
+def static_verdict(spark, d):
+    return _static(spark, d).select(F.col("item_id").alias("item"), "verdict", "route")
+
+
+@query(f"{_STATIC_SQL} SELECT CASE WHEN verdict IN ('missing', 'implemented') THEN 'static' ELSE 'ai' END AS route, verdict, count(*) AS n_items FROM v GROUP BY 1, 2")
+def verdict_summary(spark, d):
+    return lookup.summarize(_static(spark, d))
+
+
+# ---- retrieval
+
+_TOKENS = "regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z][a-z0-9_]+')"
+_BM25 = f"""
+d AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avg_dl FROM d),
+tf AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS term FROM benchmark),
+sc AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / greatest(1, avg_dl)))), 9) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM sc),
+top AS (SELECT item_id, doc_id, score, rank FROM rk WHERE rank <= 5 AND score > 0 AND score >= 0.3 * best)"""
+
+
+def _top5(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", 5, 0.3)
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM top")
+def bm25_search(spark, d):
+    return _top5(spark, d).select(F.col("query_id").alias("item_id"), "doc_id", six("score").alias("score"), big("rank").alias("rank"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), tf AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM d), n AS (SELECT count(*) AS n FROM documents)
+SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), n""")
+def term_df_idf(spark, d):
+    docs = table(spark, d, "documents")
+    total = docs.agg(F.count("*").alias("n"))
+    tf = retrieval.term_frequencies(docs, "doc_id", "text")
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total))
+    return df.select("term", "df", six(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
+
+
+# ---- context
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, min(CAST(value AS INT)) AS line, min(event_id) AS o FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, event_type) AS rank FROM f) WHERE rank <= 2""")
+def anchor_files(spark, d):
+    e = table(spark, d, "events").withColumn("line", F.rint("value").cast("int"))
+    return context.anchor_files(e, "user_id", "event_type", "line", "event_id", 2).select("user_id", "event_type", "line", big("file_rank").alias("rank"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, CAST(1 + doc_id % 5 AS INT) AS c FROM documents),
+s AS (SELECT doc_id, greatest(1, c - 2) AS s, list_slice(ls, greatest(1, c - 2), greatest(1, c - 2) + 3) AS p FROM l)
+SELECT doc_id, array_to_string(list_transform(range(0, len(p)), lambda i: CAST(s + i AS VARCHAR) || chr(9) || p[i + 1]), chr(10)) AS code FROM s""")
+def snippet_slice(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", X.snippet(F.col("text"), (1 + F.col("doc_id") % 5).cast("int"), 2, 4).alias("code"))
+
+
+_SPANS = "SELECT event_id AS o, user_id, event_id % 500 AS s, event_id % 500 + event_id % 37 AS e FROM events WHERE event_id % 3 = 0"
+_POINTS = "SELECT event_id AS p, user_id, (event_id * 7) % 520 AS at FROM events WHERE event_id % 3 = 1"
+
+
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events")
+    i = F.col("event_id")
+    spans = e.where("event_id % 3 = 0").select(i.alias("o"), "user_id", (i % 500).alias("s"), (i % 500 + i % 37).alias("e"))
+    points = e.where("event_id % 3 = 1").select(i.alias("p"), "user_id", (i * 7 % 520).alias("at"))
+    return points, spans
+
+
+@query(f"""
+WITH s AS ({_SPANS}), p AS ({_POINTS}),
+j AS (SELECT p.p, p.at AS pos, s.s, s.e, row_number() OVER (PARTITION BY p.p ORDER BY s.s DESC, s.o) AS rn FROM p LEFT JOIN s ON p.user_id = s.user_id AND p.at BETWEEN s.s AND s.e),
+w AS (SELECT p, least(greatest(pos, 1), 510) AS x, s, e FROM j WHERE rn = 1),
+f AS (SELECT *, least(510, greatest(1, x - 12) + 24) AS pe FROM w),
+b AS (SELECT p, s, CASE WHEN s IS NULL THEN greatest(1, pe - 24) ELSE greatest(s, x - 100) END AS lo, CASE WHEN s IS NULL THEN pe ELSE least(e, x + 120) END AS hi FROM f),
+c AS (SELECT p, s, greatest(1, least(lo, 510)) AS lo, hi FROM b)
+SELECT p, s AS span_start, CAST(lo AS INT) AS win_start, CAST(greatest(lo, least(hi, 510)) AS INT) AS win_end FROM c""")
+def enclosing_span(spark, d):
+    points, spans = _spans(spark, d)
+    found = context.enclosing_span(points, spans, "user_id", "at", "s", "e", "o", width=64)
+    w = context.window_bounds(F.col("at"), F.col("span_start"), F.col("span_end"), F.lit(510))
+    return found.select("p", "span_start", w.alias("w")).select("p", "span_start", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"))
+
+
+@query(f"WITH s AS ({_SPANS}), p AS ({_POINTS}) SELECT p FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.user_id = p.user_id AND p.at BETWEEN s.s AND s.e)")
+def window_containment(spark, d):
+    points, spans = _spans(spark, d)
+    return context.in_windows(points, spans.select("user_id", F.col("s").alias("start"), F.col("e").alias("end")), ["user_id"], "at").select("p")
+
+
+# ---- quotes, verdicts, placement
+
+_WS = "regexp_replace({0}, '\\s+', ' ', 'g')"
+_TIER = f"""CASE WHEN contains(d.text, q.quote) THEN 1 WHEN contains(trim({_WS.format('d.text')}), trim({_WS.format('q.quote')})) THEN 2
+  WHEN len(q.ls) >= 2 AND len(list_filter(q.ls, lambda l: NOT contains(d.text, l))) = 0 THEN 3 ELSE 0 END"""
+_QUOTES = "q AS (SELECT item_id, text AS quote, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM benchmark)"
+
+
+@query(f"WITH {_BM25}, {_QUOTES.replace('q AS', 'qq AS')} SELECT t.item_id, t.doc_id, CAST({_TIER.replace('q.', 'qq.')} AS INT) AS tier FROM top t JOIN qq USING (item_id) JOIN documents d USING (doc_id)")
+def quote_verify(spark, d):
+    return _tiers(spark, d).select("item_id", "doc_id", F.col("tier").cast("int").alias("tier"))
+
+
+def _tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieved candidates with the tier at which the item is quoted in the document."""
+    top = _top5(spark, d).select(F.col("query_id").alias("item_id"), "doc_id", "rank")
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return top.join(quotes, "item_id").join(docs, "doc_id").withColumn("tier", verdict.quote_tier(F.col("quote"), F.col("text")))
+
+
+_RECONCILE = f"""
+WITH {_BM25}, {_QUOTES.replace('q AS', 'qq AS')},
+t AS (SELECT t.item_id, t.doc_id, t.rank, {_TIER.replace('q.', 'qq.')} AS tier FROM top t JOIN qq USING (item_id) JOIN documents d USING (doc_id)),
+b AS (SELECT item_id, count(*) AS n_candidates, count(*) FILTER (tier > 0) AS n_found, min(CASE WHEN tier > 0 THEN doc_id END) AS first_doc, min(CASE WHEN tier > 0 THEN tier END) AS best_tier FROM t GROUP BY 1)
+SELECT i.item_id, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_found, 0) AS n_found, first_doc, CAST(best_tier AS INT) AS best_tier,
+  CASE WHEN b.item_id IS NULL THEN 'undecidable' WHEN n_found = 0 THEN 'missing' ELSE 'implemented' END AS verdict,
+  CASE WHEN b.item_id IS NULL THEN 'confirm' WHEN n_found = 0 THEN 'fix' ELSE 'ok' END AS placement
+FROM benchmark i LEFT JOIN b ON i.item_id = b.item_id"""
+
+
+@query(_RECONCILE)
+def quote_reconcile(spark, d):
+    """Which benchmark passages stand in the corpus: retrieved, verified, merged and placed."""
+    found = F.col("tier") > 0
+    per_item = _tiers(spark, d).groupBy("item_id").agg(F.count("*").alias("n_candidates"), F.count_if(found).alias("n_found"), F.min(F.when(found, F.col("doc_id"))).alias("first_doc"), F.min(F.when(found, F.col("tier"))).alias("best_tier"))
+    items = table(spark, d, "benchmark").select("item_id")
+    static = per_item.select("item_id", F.lit(S.ROUTE_STATIC).alias("route"), F.when(F.col("n_found") > 0, "implemented").otherwise("missing").alias("s_verdict"))
+    external = items.where("false").select("item_id", F.lit(None).cast("string").alias("x_verdict"), F.lit(None).cast("array<string>").alias("problems"))
+    merged = verdict.merge_verdicts(items, static, external).join(per_item, "item_id", "left")
+    place = verdict.placement(F.col("verdict"), F.col("checked_by"), F.coalesce("n_found", F.lit(0)) > 0)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return merged.select("item_id", zero("n_candidates"), zero("n_found"), "first_doc", F.col("best_tier").cast("int").alias("best_tier"), "verdict", place.alias("placement"))
+
+
+@query("""
+WITH e AS (SELECT b.item_id, CASE b.item_id % 5 WHEN 0 THEN '../x' WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE CAST(b.item_id % 50 AS VARCHAR) END AS file,
+  CASE b.item_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 999999 ELSE 1 END AS line, CASE WHEN b.item_id % 3 = 0 THEN left(d.text, 12) ELSE 'no such words here' END AS quote
+  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id % 50),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents),
+j AS (SELECT e.*, f.text AS t, string_split(f.text, chr(10)) AS ls FROM e LEFT JOIN f ON e.file = f.file),
+w AS (SELECT *, array_to_string(list_slice(ls, line, line + 24), chr(10)) AS win, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS qt FROM j)
+SELECT item_id, CASE WHEN file = '' THEN 'no_file' WHEN qt = '' THEN 'empty_quote' WHEN file LIKE '..%' THEN 'outside' WHEN t IS NULL THEN 'no_such_file' WHEN line > len(ls) THEN 'bad_line'
+  WHEN contains(win, qt) OR contains(trim(regexp_replace(win, '\\s+', ' ', 'g')), trim(regexp_replace(qt, '\\s+', ' ', 'g'))) THEN 'ok' ELSE 'mismatch' END AS problem FROM w""")
+def evidence_problems(spark, d):
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    i = F.col("item_id")
+    rows = b.select("item_id", (i % 50).alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
+    file = F.when(i % 5 == 0, "../x").when(i % 5 == 1, "none").when(i % 5 == 2, "").otherwise((i % 50).cast("string"))
+    line = F.when(i % 4 == 1, "999999").otherwise("1")
+    quote = F.when(i % 3 == 0, F.left("text", F.lit(12))).otherwise("no such words here")
+    claims = rows.select("item_id", F.array(F.struct(file.alias("file"), line.alias("line"), quote.alias("quote"))).alias("evidence"))
+    files = docs.select(F.col("doc_id").cast("string").alias("file"), "text")
+    return verdict.verify_evidence(claims, files, ["item_id"]).select("item_id", "problem")
+
+
+_MERGED_SQL = """
+m AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN 'static' ELSE 'ai' END AS route, d.n_chars % 2 = 0 AS has_evidence, l.quality, l.toxic,
+  CASE WHEN d.doc_id % 8 = 0 THEN 'missing' ELSE 'implemented' END AS sv,
+  CASE l.quality WHEN 1 THEN CASE WHEN d.doc_id % 3 = 0 THEN 'deviated' ELSE 'implemented' END WHEN 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'missing' ELSE 'partial' END END AS xv
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+v AS (SELECT *, CASE WHEN route = 'static' THEN sv WHEN xv IS NULL OR (xv <> 'missing' AND toxic = 1) THEN 'undecidable' ELSE xv END AS verdict,
+  CASE WHEN route = 'static' THEN 'script' WHEN xv IS NULL THEN 'pending' WHEN xv <> 'missing' AND toxic = 1 THEN 'ai_bounced' ELSE 'ai_verified' END AS checked_by FROM m),
+p AS (SELECT *, CASE WHEN verdict = 'implemented' THEN 'ok' WHEN verdict = 'missing' AND (checked_by = 'script' OR has_evidence) THEN 'fix'
+  WHEN verdict = 'deviated' AND checked_by IN ('script', 'ai_verified') THEN 'fix' ELSE 'confirm' END AS placement FROM v)"""
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    i = F.col("doc_id")
+    items = docs.select(i.alias("item_id"), (F.col("n_chars") % 2 == 0).alias("has_evidence"))
+    static = docs.select(i.alias("item_id"), F.when(i % 4 == 0, "static").otherwise("ai").alias("route"), F.when(i % 8 == 0, "missing").otherwise("implemented").alias("s_verdict"))
+    good = F.when(i % 3 == 0, "deviated").otherwise("implemented")
+    said = F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, F.when(i % 2 == 0, "missing").otherwise("partial"))
+    problems = F.when(F.col("toxic") == 1, F.array(F.lit("mismatch"))).otherwise(F.array().cast("array<string>"))
+    external = labels.select(i.alias("item_id"), said.alias("x_verdict"), problems.alias("problems"))
+    return verdict.merge_verdicts(items, static, external)
+
+
+@query(f"WITH {_MERGED_SQL} SELECT doc_id, route, verdict, checked_by FROM v")
+def merge_verdicts(spark, d):
+    return _merged(spark, d).select(F.col("item_id").alias("doc_id"), "route", "verdict", "checked_by")
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d).withColumn("placement", verdict.placement(F.col("verdict"), F.col("checked_by"), F.col("has_evidence")))
+
+
+@query(f"WITH {_MERGED_SQL} SELECT doc_id, verdict, placement FROM p")
+def classify(spark, d):
+    return _placed(spark, d).select(F.col("item_id").alias("doc_id"), "verdict", "placement")
+
+
+@query(f"WITH {_MERGED_SQL} SELECT doc_id, verdict FROM v WHERE route = 'ai' AND verdict IN ('implemented', 'deviated') AND checked_by = 'ai_verified' AND has_evidence")
+def recheck_select(spark, d):
+    return verdict.select_claims(_merged(spark, d)).select(F.col("item_id").alias("doc_id"), "verdict")
+
+
+@query(f"""
+WITH {_MERGED_SQL},
+s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'bogus' WHEN toxic = 1 THEN 'refuted' ELSE 'confirmed' END AS raw, doc_id % 7 <> 0 AS ev, doc_id % 11 <> 0 AS cl FROM labels WHERE doc_id % 2 = 1),
+e AS (SELECT doc_id, CASE WHEN raw = 'bogus' OR NOT ev THEN 'unverifiable' WHEN raw = 'confirmed' AND NOT cl THEN 'unverifiable' ELSE raw END AS second FROM s),
+a AS (SELECT v.*, route = 'ai' AND verdict IN ('implemented', 'deviated') AND checked_by = 'ai_verified' AND has_evidence AS claim, coalesce(second, 'unverifiable') AS sec FROM v LEFT JOIN e USING (doc_id))
+SELECT doc_id, CASE WHEN claim THEN 'ai_recheck:' || sec ELSE checked_by END AS checked_by,
+  CASE WHEN claim THEN CASE WHEN sec = 'confirmed' THEN CASE verdict WHEN 'implemented' THEN 'ok' ELSE 'fix' END ELSE 'confirm' END END AS forced FROM a""")
+def recheck_apply(spark, d):
+    i = F.col("doc_id")
+    raw = F.when(i % 5 == 4, "bogus").when(F.col("toxic") == 1, "refuted").otherwise("confirmed")
+    seconds = table(spark, d, "labels").where("doc_id % 2 = 1").select(i.alias("item_id"), verdict.effective_second(raw, i % 7 != 0, i % 11 != 0).alias("second"))
+    return verdict.apply_rechecks(_merged(spark, d), seconds).select(F.col("item_id").alias("doc_id"), "checked_by", F.col("forced_placement").alias("forced"))
+
+
+@query("SELECT conv_id, bool_and(hit) AS ok FROM (SELECT conv_id, role, bool_or(length(text) % 2 = 0) AS hit FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def clauses_ok(spark, d):
+    return verdict.clauses_ok(table(spark, d, "conversations"), ["conv_id"], "role", F.length("text") % 2 == 0)
+
+
+# ---- coverage
+
+
+@query("SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{3,}'))) AS word FROM documents")
+def mention_words(spark, d):
+    return coverage.mention_words(table(spark, d, "documents"))
+
+
+_SEGMENTS = "list_filter(string_split(path, '/'), lambda s: s <> '' AND NOT starts_with(s, '{'))"
+_PATHS = "(SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') || CASE page_id % 3 WHEN 0 THEN '/detail' WHEN 1 THEN '/{id}' ELSE '/retry' || (page_id % 4) END AS path FROM pages)"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("page_id")
+    tail = F.when(i % 3 == 0, "/detail").when(i % 3 == 1, "/{id}").otherwise(F.concat(F.lit("/retry"), (i % 4).cast("string")))
+    return table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://[^/]*", ""), tail).alias("path"))
+
+
+@query(f"SELECT segment, count(*) AS freq FROM (SELECT DISTINCT path, lower(unnest({_SEGMENTS})) AS segment FROM {_PATHS}) GROUP BY segment")
+def segment_freq(spark, d):
+    return coverage.segment_frequency(_paths(spark, d))
+
+
+@query(f"SELECT DISTINCT lower(({_SEGMENTS})[1]) AS module FROM {_PATHS} WHERE len({_SEGMENTS}) > 0")
+def path_modules(spark, d):
+    return coverage.mentioned_modules(_paths(spark, d))
+
+
+_COMMON = "(" + ", ".join(f"'{w}'" for w in S.TOO_COMMON) + ")"
+_USUAL = "(" + ", ".join(f"'{w}'" for w in S.GENERIC_ACTIONS) + ")"
+
+
+@query(f"""
+WITH u AS MATERIALIZED (SELECT path, min(page_id) AS o FROM {_PATHS} GROUP BY path),
+words AS MATERIALIZED (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{3,}}'))) AS word FROM documents WHERE doc_id < 20
+  UNION SELECT 'retry1' UNION SELECT 'handler5'),
+said AS (SELECT DISTINCT regexp_replace(path, '\\{{[^}}]*\\}}', '{{}}', 'g') AS path FROM {_PATHS} WHERE page_id % 10 = 0),
+modules AS (SELECT DISTINCT lower(({_SEGMENTS})[1]) AS module FROM said),
+freq AS (SELECT segment, count(*) AS freq FROM (SELECT DISTINCT path, lower(unnest({_SEGMENTS})) AS segment FROM u) GROUP BY segment),
+p AS (SELECT path, o, {_SEGMENTS} AS segs FROM u WHERE len({_SEGMENTS}) >= 2 AND regexp_replace(path, '\\{{[^}}]*\\}}', '{{}}', 'g') NOT IN (SELECT path FROM said)),
+parts AS (SELECT path, lower(unnest(segs)) AS segment FROM p),
+judged AS (SELECT path, coalesce(bool_and(w.word IS NOT NULL) FILTER (parts.segment NOT IN {_COMMON} AND coalesce(freq, 0) <= 2), true) AS covered
+  FROM parts LEFT JOIN freq USING (segment) LEFT JOIN words w ON w.word = parts.segment GROUP BY path)
+SELECT p.path, coalesce(list_filter(segs, lambda s: lower(s) NOT IN {_COMMON})[1], p.path) AS "group", 'handler' || (o % 9) AS handler
+FROM p JOIN judged USING (path) WHERE NOT covered
+  AND NOT (coalesce(lower(list_filter(segs, lambda s: lower(s) NOT IN {_COMMON})[1]) IN (SELECT module FROM modules), false) AND lower(segs[len(segs)]) IN {_USUAL})
+  AND 'handler' || (o % 9) NOT IN (SELECT word FROM words)""")
+def extra_paths(spark, d):
+    urls = _paths(spark, d).groupBy("path").agg(F.min("page_id").alias("url_ord"))
+    handler = F.concat(F.lit("handler"), (F.col("url_ord") % 9).cast("string"))
+    urls = urls.select("path", "url_ord", F.lit("GET").alias("http"), F.lit("f").alias("file"), F.lit(1).alias("line"), handler.alias("handler"), F.lit("o").alias("owner"))
+    more = spark.range(2).select(F.element_at(F.array(F.lit("retry1"), F.lit("handler5")), (F.col("id") + 1).cast("int")).alias("word"))
+    words = coverage.mention_words(table(spark, d, "documents").where("doc_id < 20")).union(more).distinct()
+    said = _paths(spark, d).where("page_id % 10 = 0").select(X.norm_url(F.col("path")).alias("path")).distinct()
+    return coverage.extra_paths(urls, words, said).select("path", "group", "handler")
+
+
+# ---- fingerprints, codes, reports
+
+
+@query("SELECT sha1('digits=5' || chr(10) || string_agg(s, chr(10) ORDER BY s)) AS fingerprint FROM (SELECT 'doc' || doc_id || ':' || n_chars || ':' || length(lang) AS s FROM documents)")
+def fingerprint(spark, d):
+    files = table(spark, d, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), F.col("n_chars").alias("mtime"), F.length("lang").alias("size"))
+    return symbols.fingerprint(files)
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, 'see ' || (o_orderkey % 90000 + 10000) || ', x' || o_custkey || ' or 0' || o_custkey || chr(10) || 'then ' || (o_orderkey % 7000) || ' and ' || (20000 + o_custkey % 100) || ' v1.' || 23456 AS t FROM orders),
+l AS (SELECT o_orderkey, unnest(range(1, 3)) AS line, unnest(string_split(t, chr(10))) AS s FROM t)
+SELECT o_orderkey, CAST(line AS INT) AS line, code FROM (SELECT o_orderkey, line, unnest(regexp_extract_all(s, '(?:^|[^\\w.])([1-9]\\d{4})(?:[^\\w.]|$)', 1)) AS code FROM l)""")
+def error_codes(spark, d):
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("see "), (k % 90000 + 10000).cast("string"), F.lit(", x"), c.cast("string"), F.lit(" or 0"), c.cast("string"), F.lit("\nthen "), (k % 7000).cast("string"), F.lit(" and "), (20000 + c % 100).cast("string"), F.lit(" v1.23456"))
+    return symbols.error_codes(o.select(k.alias("file"), text.alias("text"))).select(F.col("file").alias("o_orderkey"), "line", F.col("name").alias("code"))
+
+
+@query(f"""
+WITH {_MERGED_SQL} SELECT placement, count(*) AS n_items, count(*) FILTER (checked_by = 'pending') AS n_pending, count(*) FILTER (checked_by = 'ai_bounced') AS n_bounced,
+  count(*) FILTER (verdict = 'undecidable') AS n_undecidable FROM p GROUP BY placement""")
+def report_counts(spark, d):
+    return render.counts(_placed(spark, d))
+
+
+@query(f"""
+WITH {_MERGED_SQL}, r AS (SELECT placement, doc_id, row_number() OVER (PARTITION BY placement ORDER BY doc_id) AS n, verdict FROM p WHERE placement <> 'ok')
+SELECT placement, string_agg(n || '. ' || doc_id || ': ' || verdict, chr(10) ORDER BY n) AS body FROM r GROUP BY placement""")
+def report_render(spark, d):
+    rows = _placed(spark, d).where("placement <> 'ok'")
+    return render.numbered_sections(rows, "placement", "item_id", F.concat_ws(": ", F.col("item_id").cast("string"), "verdict"))
+
+
+@query()
+def sample_ok(spark, d):
+    return render.sample(_placed(spark, d).where("placement = 'ok' AND has_evidence"), 20, seed=7).select("item_id", "verdict")
+
+
+# ---- parsers, on sources built here
+
+_MD = "# Orders\n\n## Rules\n\n- an order has {n} lines\n  at most\n\n| a | b |\n| -- | -- |\n| 1 | 2 |\n\n## 背景\n\nplain text ![x](pic%20{n}.png)\n"
+
+
+@query("""
+WITH b(n, start_line, end_line, path, kind, likely, image) AS (VALUES
+  (1, 1, 1, 'Orders', 'heading', false, NULL), (2, 3, 3, 'Orders / Rules', 'heading', false, NULL), (3, 5, 6, 'Orders / Rules', 'list', true, NULL),
+  (4, 8, 10, 'Orders / Rules', 'table', true, NULL), (5, 12, 12, 'Orders / 背景', 'heading', false, NULL), (6, 14, 14, 'Orders / 背景', 'para', false, 'pic '))
+SELECT printf('B%04d', row_number() OVER (ORDER BY n_nationkey, n)) AS id, n_nationkey, start_line, end_line, path, kind, likely, CASE WHEN image IS NULL THEN '' ELSE image || n_nationkey || '.png' END AS images FROM nation, b""")
+def md_blocks(spark, d):
+    n = F.col("n_nationkey")
+    files = table(spark, d, "nation").select(F.format_string("d%05d.md", n).alias("file"), F.replace(F.lit(_MD), F.lit("{n}"), n.cast("string")).alias("text"))
+    out = blocks.numbered_blocks(blocks.split_blocks(files))
+    return out.select("id", F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("n_nationkey"), "start_line", "end_line", F.array_join("heading", " / ").alias("path"), "kind", F.col("likely_requirement").alias("likely"), F.array_join("images", ",").alias("images"))
+
+
+_JAVA = '/** Service {n}. */\n@RequestMapping({"/r{n}", "/q"})\npublic class S{n}Service {\n  private int a, b = f(1, 2);\n  // class Not {}\n  @PostMapping("/save") public void save(int x) {\n    throw new E(4102{m});\n  }\n  enum Kind { ON, OFF; }\n}\n'
+
+
+@query("""
+WITH s(family, name, line, end_line, owner) AS (VALUES
+  ('types', 'S{n}Service', 3, NULL, NULL), ('types', 'Kind', 9, NULL, NULL), ('methods', 'save', 6, 8, 'S{n}Service'), ('fields', 'a', 4, NULL, 'S{n}Service'), ('fields', 'b', 4, NULL, 'S{n}Service'),
+  ('enum_constants', 'ON', 9, NULL, 'Kind'), ('enum_constants', 'OFF', 9, NULL, 'Kind'), ('urls', 'POST /r{n}/save', 6, NULL, 'S{n}Service'), ('urls', 'POST /q/save', 6, NULL, 'S{n}Service'), ('error_codes', '4102{m}', 7, NULL, NULL))
+SELECT n_nationkey, family, replace(replace(name, '{n}', CAST(n_nationkey AS VARCHAR)), '{m}', CAST(n_nationkey % 10 AS VARCHAR)) AS name, line, end_line, replace(owner, '{n}', CAST(n_nationkey AS VARCHAR)) AS owner FROM nation, s""")
+def java_symbols(spark, d):
+    n = F.col("n_nationkey")
+    text = F.replace(F.replace(F.lit(_JAVA), F.lit("{n}"), n.cast("string")), F.lit("{m}"), (n % 10).cast("string"))
+    files = table(spark, d, "nation").select(F.format_string("a/F%d.java", n).alias("file"), text.alias("text"))
+    out = symbols.java_symbols(files)
+    return out.select(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("n_nationkey"), "family", "name", "line", "end_line", "owner")
+
+
+@query("""
+SELECT r_regionkey, 'ns' || r_regionkey AS namespace, kind, stmt_id, line FROM region, (VALUES ('select', 'find', 3), ('update', 'touch', 6)) AS s(kind, stmt_id, line)""")
+def mybatis_statements(spark, d):
+    k = F.col("r_regionkey").cast("string")
+    text = F.concat(F.lit('<?xml version="1.0"?>\n<mapper namespace="ns'), k, F.lit('">\n<select resultType="x" id="find">\nselect 1\n</select>\n<UPDATE id="touch">x</UPDATE>\n</mapper>'))
+    out = symbols.mapper_statements(table(spark, d, "region").select(F.concat(k, F.lit(".xml")).alias("file"), text.alias("text")))
+    return out.select(F.regexp_extract("file", r"^(\d+)", 1).cast("int").alias("r_regionkey"), "namespace", "kind", "stmt_id", "line")
