@@ -91,15 +91,18 @@ def primary(ids: Column) -> Column:
     return out
 
 
+def _family_checks(values: Column, n: int, family: str) -> Column:
+    def one(x: Column) -> Column:
+        target, http = (x["path"], x["http"]) if family == "urls" else (x, F.lit(""))
+        return F.struct(F.lit(n).alias("family_ord"), F.lit(family).alias("family"), target.alias("target"), http.alias("http"))
+
+    return F.transform(values, one)
+
+
 def checks(items: DataFrame, ids: str = "ids") -> DataFrame:
     """One row a check: item_id, kind, family, check_ord, target, http. Existence items are checked by their primary
     family only."""
-    rows = []
-    for n, family in enumerate(CHECK_ORDER):
-        values = F.col(ids)[family]
-        target = F.transform(values, lambda x: x["path"]) if family == "urls" else values
-        http = F.transform(values, lambda x: x["http"]) if family == "urls" else F.transform(values, lambda x: F.lit("").cast("string"))
-        rows.append(F.transform(F.arrays_zip(target.alias("t"), http.alias("h")), lambda z, n=n, family=family: F.struct(F.lit(n).alias("family_ord"), F.lit(family).alias("family"), z["t"].alias("target"), z["h"].alias("http"))))
+    rows = [_family_checks(F.col(ids)[family], n, family) for n, family in enumerate(CHECK_ORDER)]
     all_checks = F.concat(*rows)
     own = F.when((F.col("kind") == "existence"), F.filter(all_checks, lambda c: c["family"] == primary(F.col(ids)))).otherwise(all_checks)
     return items.select("item_id", "kind", F.posexplode(own).alias("check_ord", "c")).select("item_id", "kind", "check_ord", "c.*")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..functions import text as X
@@ -48,6 +49,15 @@ def six(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def lines_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with line_no, a unique number within its order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return table(spark, d, "lineitem").withColumn("line_no", F.row_number().over(w).cast("bigint"))
+
+
+_LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS line_no FROM lineitem)"
+
+
 # ---- documents: lines, blocks, numbers
 
 
@@ -66,17 +76,15 @@ def block_hard_cut(spark, d):
     return rows.select("doc_id", F.col("b.start").cast("int").alias("start_line"), F.col("b.end").cast("int").alias("end_line"))
 
 
-@query("""
-WITH RECURSIVE h AS (
-  SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS o, CAST(1 + (l_partkey % 3) AS INT) AS lvl, 'T' || l_partkey AS t,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem),
+@query(f"""
+WITH RECURSIVE h AS (SELECT l_orderkey AS k, line_no AS o, CAST(1 + (l_partkey % 3) AS INT) AS lvl, 'T' || l_partkey AS t, line_no AS rn FROM {_LINES}),
 f AS (
   SELECT k, o, rn, [t] AS p FROM h WHERE rn = 1
   UNION ALL
   SELECT h.k, h.o, h.rn, list_append(list_slice(f.p, 1, h.lvl - 1), h.t) FROM f JOIN h ON h.k = f.k AND h.rn = f.rn + 1)
 SELECT k AS l_orderkey, o AS line_no, array_to_string(p, ' / ') AS path FROM f""")
 def heading_path(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_no"), (1 + F.col("l_partkey") % 3).cast("int").alias("lvl"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("t"))
+    rows = lines_of_orders(spark, d).select("l_orderkey", "line_no", (1 + F.col("l_partkey") % 3).cast("int").alias("lvl"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("t"))
     return blocks.heading_paths(rows, "l_orderkey", "line_no", "lvl", "t").select("l_orderkey", "line_no", F.array_join("path", " / ").alias("path"))
 
 
@@ -143,24 +151,21 @@ def result_files_filled(spark, d):
 # ---- batches and budgets
 
 
-@query("""
-SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM (
-  SELECT *, sum(l_quantity) OVER w AS run, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
-WHERE run <= 60 OR rn = 1""")
+@query(f"SELECT l_orderkey, line_no FROM (SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM {_LINES}) WHERE run <= 60 OR line_no = 1")
 def budget_prefix(spark, d):
-    kept = ordering.within_budget(table(spark, d, "lineitem"), ["l_orderkey"], [F.col("l_linenumber")], F.col("l_quantity"), 60, keep_first=True)
-    return kept.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+    kept = ordering.within_budget(lines_of_orders(spark, d), ["l_orderkey"], [F.col("line_no")], F.col("l_quantity"), 60, keep_first=True)
+    return kept.select("l_orderkey", "line_no")
 
 
-@query("""
-SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber FROM (
-  SELECT l.*, o_custkey % 40 AS base, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS run
-  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)
+@query(f"""
+SELECT l_orderkey, line_no FROM (
+  SELECT l.*, o_custkey % 40 AS base, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run
+  FROM {_LINES} l JOIN orders ON l_orderkey = o_orderkey)
 WHERE run + base <= 90""")
 def budget_precharged(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("base")), "l_orderkey")
-    kept = ordering.within_budget(rows, ["l_orderkey"], [F.col("l_linenumber")], F.col("l_quantity"), 90, base=F.col("base"))
-    return kept.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+    rows = lines_of_orders(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("base")), "l_orderkey")
+    kept = ordering.within_budget(rows, ["l_orderkey"], [F.col("line_no")], F.col("l_quantity"), 90, base=F.col("base"))
+    return kept.select("l_orderkey", "line_no")
 
 
 @query("""
@@ -171,10 +176,8 @@ def chunk_batches(spark, d):
     return ordering.chunked(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 8).select("o_orderkey", big("batch").alias("batch"))
 
 
-@query("""
-WITH RECURSIVE r AS (
-  SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS o, CAST(l_quantity AS BIGINT) AS c, l_returnflag AS s,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem),
+@query(f"""
+WITH RECURSIVE r AS (SELECT l_orderkey AS k, line_no AS o, CAST(l_quantity AS BIGINT) AS c, l_returnflag AS s, line_no AS rn FROM {_LINES}),
 f AS (
   SELECT k, o, rn, c AS cost, 1 AS n, s, 0 AS batch FROM r WHERE rn = 1
   UNION ALL
@@ -183,7 +186,7 @@ f AS (
     FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1))
 SELECT k AS l_orderkey, o AS line_no, CAST(batch AS INT) AS batch FROM f""")
 def greedy_binpack(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line_no"), "l_quantity", "l_returnflag")
+    rows = lines_of_orders(spark, d).select("l_orderkey", "line_no", "l_quantity", "l_returnflag")
     packed = ordering.greedy_batches(rows, ["l_orderkey"], "line_no", F.col("l_quantity"), F.col("l_returnflag"), 60, 4)
     return packed.select("l_orderkey", "line_no", F.col("batch").cast("int").alias("batch"))
 
