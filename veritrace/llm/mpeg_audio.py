@@ -170,7 +170,11 @@ def read_stream(data: bytes | None) -> Stream:
     kind, first, lost = None, True, False
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
-        if h is None or (kind not in (None, (h.version, h.layer, h.hertz))) or (lost or kind is None) and not _followed(data, at, h, end):
+        good = h is not None and kind in (None, (h.version, h.layer, h.hertz))
+        if good and not _followed(data, at, h, end):
+            # what follows is damaged: the frame counts if it stands in line and its checksum is right
+            good = kind is not None and not lost and (_sound(data, at, h) if h.checked and h.layer == 3 else not out.good)
+        if not good:
             if not lost:
                 lost, out.resyncs = True, out.resyncs + 1
             step = data.find(b"\xff", at + 1, end)
@@ -188,7 +192,7 @@ def read_stream(data: bytes | None) -> Stream:
         if not (first and _read_vbr(frame, h, out)):
             body = 4 + 2 * h.checked + h.side
             if h.checked and h.layer == 3:
-                right = frame_crc(frame[2:4] + frame[6:body]) == int.from_bytes(frame[4:6])
+                right = _sound(frame, 0, h)
                 out.good, out.bad = out.good + right, out.bad + (not right)
             else:
                 out.unchecked += 1
@@ -203,6 +207,11 @@ def read_stream(data: bytes | None) -> Stream:
     return out
 
 
+def _sound(data: bytes, at: int, h: Header) -> bool:
+    """Whether the checksum of a Layer III frame is right."""
+    return frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
+
+
 def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
     """A header counts as one if its frame ends the data or the next frame begins where it ends."""
     n = at + h.size
