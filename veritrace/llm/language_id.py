@@ -87,26 +87,31 @@ def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _distinct_grams(texts: list[str], n: int) -> tuple[np.ndarray, ...]:
+    """Of all n-grams after n characters the distinct hashes, those of their first and last n characters, and counts.
+    Texts are merged a block at a time, so memory follows the distinct n-grams, not the texts."""
+    held: list[tuple[np.ndarray, ...]] = []
+    merged = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.float64))
+    size = 0
+    for k, text in enumerate(texts):
+        points = characters(text)
+        if len(points):
+            hashes = gram_hashes(points, n + 1)
+            zero = np.zeros(len(points), np.uint64)
+            held.append((hashes[n][n:], hashes[n - 1][n - 1 : -1] if n else zero, hashes[n - 1][n:] if n else zero, np.ones(len(points) - n)))
+            size += len(points)
+        if size >= 16 * BLOCK or k == len(texts) - 1:
+            keys, prefix, suffix, counts = (np.concatenate(x) for x in zip(merged, *held, strict=True))
+            distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            merged = distinct, prefix[first], suffix[first], np.bincount(which, counts, len(distinct))
+            held, size = [], 0
+    return merged
+
+
 def kneser_ney(texts: list[str], order: int = ORDER, discount: float = DISCOUNT) -> list[tuple[np.ndarray, ...]]:
     """By order the arrays of LEVEL: sorted n-gram hashes, their log2 probabilities, the hashes of their first and last
     n - 1 characters, sorted context hashes and their log2 back-off masses."""
-    streams = [characters(t) for t in texts]
-    grams: list[list[np.ndarray]] = [[] for _ in range(order)]
-    prefix: list[list[np.ndarray]] = [[] for _ in range(order)]
-    suffix: list[list[np.ndarray]] = [[] for _ in range(order)]
-    for points in streams:
-        if not len(points):
-            continue
-        hashes = gram_hashes(points, order)
-        for n in range(order):
-            grams[n].append(hashes[n][n:])
-            prefix[n].append(hashes[n - 1][n - 1 : -1] if n else np.zeros(len(points), np.uint64))
-            suffix[n].append(hashes[n - 1][n:] if n else np.zeros(len(points), np.uint64))
-    levels = []
-    for n in range(order):
-        g = np.concatenate(grams[n]) if grams[n] else np.zeros(0, np.uint64)
-        keys, first, counts = np.unique(g, return_index=True, return_counts=True)
-        levels.append((keys, np.concatenate(prefix[n])[first] if len(g) else g, np.concatenate(suffix[n])[first] if len(g) else g, counts.astype(np.float64)))
+    levels = [_distinct_grams(texts, n) for n in range(order)]
     out, lower_keys, lower_p = [], np.zeros(0, np.uint64), np.zeros(0)
     for n in range(order):
         keys, pre, _, counts = levels[n]
