@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of columns a, b of `edges` reaches; only nodes with an edge."""
     now = materialize(edges.select("a", "b").where("a != b").distinct(), "edges")
     said = None
-    while True:
+    while not now.isEmpty():
         then = materialize(_small_star(_large_star(now).where("a != b").distinct()).distinct(), "stars")
         forget(now)
         now = then
