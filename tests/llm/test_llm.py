@@ -102,15 +102,15 @@ def brute_fingerprint(text):
 
 def test_simhash(spark, docs):
     rows = simhash_dedup.simhash_components(docs).collect()
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert len(rows) == docs.count() and all(int(r["fingerprint"], 16) == brute_fingerprint(texts[r["doc_id"]]) for r in rows)
+    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
+    assert len(rows) == docs.count() and all(int(r["fingerprint"], 16) == prints[r["doc_id"]] for r in rows)
     comp = {r["doc_id"]: r["component_id"] for r in rows}
     ids = [i for i in comp if i is not None]
     root = {i: i for i in ids}
     for _ in ids:
         for a in ids:
             for b in ids:
-                if (brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).bit_count() <= 2:
+                if (prints[a] ^ prints[b]).bit_count() <= 2:
                     root[a] = root[b] = min(root[a], root[b])
     assert all(comp[i] == root[i] for i in ids)
     kept = simhash_dedup.keep_one(docs)
