@@ -12,6 +12,11 @@ a list gives no pairs but a star for each connected group in it: rows out never
 
 Defined results: null text is the empty text; texts without a word have fingerprint zero and are linked like any
 others; rows may repeat; ids may be null (a component's id is its smallest id that is not null).
+
+keep_similar() is the corpus stage: texts are near copies where the Jaccard similarity of their five-word shingles is at
+least 0.8. SimHashes of such pairs differ in ten bits and more, so that no byte need be equal and a count filter would
+guarantee nothing; candidates there share a MinHash band (at 0.8 all but 5 pairs in 100,000 do) and are verified by the
+true similarity.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, materialize, packed, unpacked
 from .components import components, local_components
+from .minhash import band_keys
 
 SHINGLE = 3
 SEED = 42
@@ -34,21 +40,33 @@ BYTES = 8
 SMALL = 256  # lists up to this length are compared pair by pair
 PART = 1 << 16  # shingles counted at once
 
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 25, 5
+TILE = 1000  # texts of a slice of a candidate group,
+TILE_BYTES = 8_000_000  # and their bytes
+
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """Majority bits of the hashes of all word shingles, as a signed 64-bit integer. ASCII case is folded."""
+def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of all word shingles, of all words where they are fewer, none where there is no word. ASCII case is folded."""
     words = (raw or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        digest, starts = xxhash.xxh64_intdigest, [0, *ends[: len(words) - shingle]]
-        hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = list(accumulate(len(w) + 1 for w in words))
+    digest, starts = xxhash.xxh64_intdigest, [0, *ends[: len(words) - shingle]]
+    return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :], strict=True)]
+
+
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """Majority bits of the hashes of all word shingles, as a signed 64-bit integer."""
+    hashes = shingle_hashes(raw, shingle)
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), PART):
         part = np.array(hashes[at : at + PART], "<u8")
@@ -144,3 +162,82 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     rows = arrow_map(packed(docs, own_id=F.col(id_col), own_text=F.col(text_col)), lambda: lambda values: [(fingerprint(v),) for v in values], "own_text", FINGERPRINT, binary=True)
     kept = rows.join(stay, (F.col("fp") == F.col("stay_fp")) & F.col("own_id").eqNullSafe(F.col("stay_id")))
     return unpacked(kept.dropDuplicates(["own_id", "fp"]))
+
+
+_BANDS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+def text_bands(texts: list, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Band keys of the shingles of each text; texts without a word share theirs."""
+    sets = [shingle_hashes(t, shingle) or [0] for t in texts]
+    return band_keys(np.array([h for s in sets for h in s], np.uint64), np.array([len(s) for s in sets], np.int64), BANDS, ROWS)
+
+
+def similar_pairs(texts: list, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of at least the similarity connect, among pairs that share a band."""
+    sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
+    bands, label, edges, failed = text_bands(texts, shingle), np.arange(len(texts)), [], set()
+    for keys in bands.T:
+        order = np.argsort(keys, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+            for n, j in enumerate(run.tolist()):
+                for i in run[:n][label[run[:n]] != label[j]].tolist():
+                    if label[i] == label[j] or (i, j) in failed:
+                        continue
+                    a, b = sets[i], sets[j]
+                    few, many = sorted((len(a), len(b)))
+                    both = len(np.intersect1d(a, b, assume_unique=True)) if few >= least * many - 1e-9 else 0
+                    if both >= least * (few + many - both) - 1e-9:
+                        edges.append((i, j))
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+                    else:
+                        failed.add((i, j))
+    return edges
+
+
+_EDGES = T.StructType([T.StructField("edges", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
+
+
+def _similar_edges(shingle: int, least: float):
+    def work(tiles: list) -> list[tuple]:
+        out = []
+        for members in tiles:
+            members = sorted(members, key=lambda m: m["text_key"])
+            pairs = similar_pairs([m["text"].encode() for m in members], shingle, least)
+            out.append(([{"a": members[i]["text_key"], "b": members[j]["text_key"]} for i, j in pairs],))
+        return out
+
+    return lambda: work
+
+
+def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(text_key, root) of the texts that have a near copy. sketches: text_key, bands; texts: text_key, text."""
+    nodes = sketches.select("text_key", "bands").dropDuplicates(["text_key"])
+    lists = nodes.select("text_key", F.explode("bands").alias("key")).groupBy("key").agg(F.collect_list("text_key").alias("members")).where(F.size("members") > 1)
+    stars = lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
+    groups = components(stars).withColumnRenamed("node", "text_key").withColumnRenamed("root", "g")
+    members = materialize(texts.join(groups, "text_key").dropDuplicates(["text_key"]), "near-texts")
+    most = F.greatest(F.count("*") / TILE, F.sum(F.octet_length("text")) / TILE_BYTES)
+    slices = members.groupBy("g").agg(F.ceil(most).cast("int").alias("slices"))
+    slices = slices.withColumn("slices", F.greatest("slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("text_key"), F.col("slices")).cast("int")
+    dealt = members.join(slices, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    tiles = dealt.groupBy("g", F.least("own", "other"), F.greatest("own", "other")).agg(F.collect_list(F.struct("text_key", "text")).alias("members"))
+    edges = arrow_map(tiles.select("members"), _similar_edges(shingle, least), "members", _EDGES, size=16).select(F.inline("edges"))
+    return components(edges).withColumnRenamed("node", "text_key")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One row of each group of texts that pairs of at least the shingle similarity connect, that of the smallest id,
+    with its own columns."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sketches = materialize(arrow_map(texts, lambda: lambda values: [(b,) for b in text_bands(values, shingle).tolist()], "text", _BANDS, binary=True), "sketches")
+    found = _similar_components(sketches, texts.select("text_key", "text"), shingle, least)
+    # the row to stay: of the smallest id, then of the smallest text key
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    rooted = sketches.select("doc_id", "text_key").join(found, "text_key", "left")
+    stay = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("stay_id"), F.col("o.text_key").alias("stay_key"))
+    rows = packed(docs, own_id=F.col(id_col), text_key=F.xxhash64(text))
+    kept = rows.join(stay, (F.col("text_key") == F.col("stay_key")) & F.col("own_id").eqNullSafe(F.col("stay_id")))
+    return unpacked(kept.dropDuplicates(["own_id", "text_key"]))
