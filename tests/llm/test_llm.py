@@ -153,22 +153,6 @@ def test_lm_base_score(spark, docs):
     assert lm_score.lm_scores(docs.where("false")).count() == 0
 
 
-def test_edit_distance():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    r = random.Random(1)
-    for _ in range(500):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 12))) for _ in "ab")
-        assert line_dedup.edit_distance(a, b, 99) == plain(a, b)
-
-
 def test_line_dedup(spark):
     line = "one fine line of words that stands in many texts with hardly any change to it at all in the whole of this corpus"
     rows = [(1, f"{line}\nfirst own words here"), (2, f"second own words there\n{line.upper()}"), (3, line + "\n\n" + line), (4, None), (5, ""), (None, line), (6, "| - |\n| - |")]
@@ -180,18 +164,6 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(docs.where("false")).count() == 0
 
 
-def test_linked_lines_match_all_pairs():
-    r = random.Random(2)
-    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-    texts = sorted({" ".join(w if r.random() > 0.04 else w + "x" for w in base) for _ in range(60)})
-    sims = line_dedup.simhashes([t.encode().split() for t in texts])
-    edges = line_dedup.linked(sims, texts)
-    got = local_components(len(texts), *(np.array(x, int) for x in zip(*edges, strict=True))) if edges else np.arange(len(texts))
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (int(sims[i]) ^ int(sims[j])).bit_count() <= 3 and line_dedup.similar(texts[i], texts[j])]
-    want = local_components(len(texts), *(np.array(x, int) for x in zip(*pairs, strict=True))) if pairs else np.arange(len(texts))
-    assert (got == want).all()
-
-
 def test_chunks_resist_shifts(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +17,9 @@ from pyspark.sql import types as T
 #: Rows that a Python step holds as Python objects at once.
 SLICE = 256
 
+#: Bytes of a batch that the JVM hands to a Python step, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
 _own_folder: dict[str, str] = {}
 
 
@@ -32,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veritrace_path = path
     return out
@@ -68,42 +74,31 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in kept])
 
 
-def arrow_map(df: DataFrame, each: Callable[[], Callable[[list], list[tuple]]], read: str, schema: T.StructType, binary: bool = False, size: int = SLICE) -> DataFrame:
-    """Every column of df but `read`, and the columns of schema that a function makes from column `read`.
+def bounded(df: DataFrame) -> None:
+    """Have batches for Python steps end by bytes, so that a worker's memory follows the longest text, not row counts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(name)).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
 
-    each() is called once a task and returns a function from a list of values to a list of tuples. `binary` hands
-    strings over as UTF-8 bytes. Rows are taken `size` at a time, so memory follows the longest slice, not the table.
-    """
-    keep = [f for f in df.schema.fields if f.name != read]
-    full = T.StructType([*keep, *schema.fields])
-    kept, names = [f.name for f in keep], [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+def freed() -> None:
+    """Give a finished task's memory back: workers are used again and would keep it beside the next task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
-        work = None
-        for whole in batches:
-            work = work or each()
-            for at in range(0, whole.num_rows, size):
-                batch = whole.slice(at, size)
-                values = batch.column(batch.schema.get_field_index(read))
-                if binary:
-                    values = values.cast(pa.binary())
-                rows = work(values.to_pylist())
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in kept] + made, kept + names)
 
-    return df.mapInArrow(run, full)
+def texts_of(values: list) -> list:
+    """UTF-8 bytes as strings; bytes that are no UTF-8 become U+FFFD."""
+    return [None if v is None else v.decode("utf-8", "replace") for v in values]
 
 
-def arrow_explode(df: DataFrame, each: Callable[[], Callable[[list], tuple[list[int], list]]], read: str, schema: T.StructType, binary: bool = False, size: int = SLICE) -> DataFrame:
-    """As arrow_map, but a value gives any number of rows: the function returns how many each value gave and the
-    columns of all of them, as arrays or lists."""
+def _mapped(df: DataFrame, each: Callable, read: str, schema: T.StructType, binary: bool, size: int, explode: bool) -> DataFrame:
     keep = [f for f in df.schema.fields if f.name != read]
     full = T.StructType([*keep, *schema.fields])
     kept, names = [f.name for f in keep], [f.name for f in schema.fields]
+    bounded(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -116,11 +111,38 @@ def arrow_explode(df: DataFrame, each: Callable[[], Callable[[list], tuple[list[
             for at in range(0, whole.num_rows, size):
                 batch = whole.slice(at, size)
                 values = batch.column(batch.schema.get_field_index(read))
-                if binary:
-                    values = values.cast(pa.binary())
-                counts, columns = work(values.to_pylist())
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)).take(rows) for k in kept] + made, kept + names)
+                if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
+                    values = values.cast(pa.binary()).to_pylist()  # a string need not be UTF-8
+                    values = values if binary else texts_of(values)
+                else:
+                    values = values.to_pylist()
+                others = [batch.column(batch.schema.get_field_index(k)) for k in kept]
+                if explode:
+                    counts, columns = work(values)
+                    rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                    others = [c.take(rows) for c in others]
+                else:
+                    columns = list(zip(*work(values), strict=True)) or [[] for _ in names]
+                yield pa.RecordBatch.from_arrays(others + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], kept + names)
+                values = columns = others = batch = None
+            whole = None
+        work = None
+        freed()
 
     return df.mapInArrow(run, full)
+
+
+def arrow_map(df: DataFrame, each: Callable[[], Callable[[list], list[tuple]]], read: str, schema: T.StructType, binary: bool = False, size: int = SLICE) -> DataFrame:
+    """Every column of df but `read`, and the columns of schema that a function makes from column `read`.
+
+    each() is called once a task and returns a function from a list of values to a list of tuples. `binary` hands
+    strings over as UTF-8 bytes. Batches end by bytes and are taken `size` rows at a time, so a worker's memory follows
+    the longest value.
+    """
+    return _mapped(df, each, read, schema, binary, size, False)
+
+
+def arrow_explode(df: DataFrame, each: Callable[[], Callable[[list], tuple[list[int], list]]], read: str, schema: T.StructType, binary: bool = False, size: int = SLICE) -> DataFrame:
+    """As arrow_map, but a value gives any number of rows: the function returns how many each value gave and the
+    columns of all of them, as arrays or lists."""
+    return _mapped(df, each, read, schema, binary, size, True)

@@ -21,16 +21,19 @@ true similarity.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialize, packed, unpacked
+from .common import arrow_map, bounded, forget, materialize, packed, unpacked
 from .components import components, local_components
+from .linking import linked
 from .minhash import band_keys
 
 SHINGLE = 3
@@ -43,8 +46,8 @@ PART = 1 << 16  # shingles counted at once
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-TILE = 1000  # texts of a slice of a candidate group,
-TILE_BYTES = 8_000_000  # and their bytes
+TILE = 2000  # members of a slice of a list
+REMEMBERED = 64  # texts whose shingles a task keeps
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
 
@@ -173,58 +176,54 @@ def text_bands(texts: list, shingle: int = STAGE_SHINGLE) -> np.ndarray:
     return band_keys(np.array([h for s in sets for h in s], np.uint64), np.array([len(s) for s in sets], np.int64), BANDS, ROWS)
 
 
-def similar_pairs(texts: list, shingle: int = STAGE_SHINGLE, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Edges that connect what pairs of at least the similarity connect, among pairs that share a band."""
-    sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
-    bands, label, edges, failed = text_bands(texts, shingle), np.arange(len(texts)), [], set()
-    for keys in bands.T:
-        order = np.argsort(keys, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-            for n, j in enumerate(run.tolist()):
-                for i in run[:n][label[run[:n]] != label[j]].tolist():
-                    if label[i] == label[j] or (i, j) in failed:
-                        continue
-                    a, b = sets[i], sets[j]
-                    few, many = sorted((len(a), len(b)))
-                    both = len(np.intersect1d(a, b, assume_unique=True)) if few >= least * many - 1e-9 else 0
-                    if both >= least * (few + many - both) - 1e-9:
-                        edges.append((i, j))
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
-                    else:
-                        failed.add((i, j))
-    return edges
-
-
-_EDGES = T.StructType([T.StructField("edges", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
-
-
-def _similar_edges(shingle: int, least: float):
-    def work(tiles: list) -> list[tuple]:
-        out = []
-        for members in tiles:
-            members = sorted(members, key=lambda m: m["text_key"])
-            pairs = similar_pairs([m["text"].encode() for m in members], shingle, least)
-            out.append(([{"a": members[i]["text_key"], "b": members[j]["text_key"]} for i, j in pairs],))
-        return out
+def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sets, as sorted arrays, have at least the Jaccard similarity."""
+    few, many = sorted((len(a), len(b)))
+    both = len(np.intersect1d(a, b, assume_unique=True)) if few >= least * many - 1e-9 else 0
+    return both >= least * (few + many - both) - 1e-9
+
+
+def _similar(shingle: int, least: float):
+    """Pairs of texts that are alike. The sets of the last REMEMBERED texts are kept: many pairs have one in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
 
-    return lambda: work
+        def of(key: int, text: str) -> np.ndarray:
+            if key not in sets:
+                if len(sets) >= REMEMBERED:
+                    sets.clear()
+                sets[key] = np.unique(np.array(shingle_hashes(text.encode("utf-8", "replace"), shingle), np.uint64))
+            return sets[key]
+
+        for batch in batches:
+            a, b, left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "left", "right"))
+            keys = zip(a.to_pylist(), b.to_pylist(), strict=True)
+            ok = pa.array([alike(of(x, left[n].as_py()), of(y, right[n].as_py()), least) for n, (x, y) in enumerate(keys)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], ["a", "b"])
+
+    return run
 
 
 def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """(text_key, root) of the texts that have a near copy. sketches: text_key, bands; texts: text_key, text."""
-    nodes = sketches.select("text_key", "bands").dropDuplicates(["text_key"])
-    lists = nodes.select("text_key", F.explode("bands").alias("key")).groupBy("key").agg(F.collect_list("text_key").alias("members")).where(F.size("members") > 1)
-    stars = lists.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
-    groups = components(stars).withColumnRenamed("node", "text_key").withColumnRenamed("root", "g")
-    members = materialize(texts.join(groups, "text_key").dropDuplicates(["text_key"]), "near-texts")
-    most = F.greatest(F.count("*") / TILE, F.sum(F.octet_length("text")) / TILE_BYTES)
-    slices = members.groupBy("g").agg(F.ceil(most).cast("int").alias("slices"))
-    slices = slices.withColumn("slices", F.greatest("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("text_key"), F.col("slices")).cast("int")
-    dealt = members.join(slices, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = dealt.groupBy("g", F.least("own", "other"), F.greatest("own", "other")).agg(F.collect_list(F.struct("text_key", "text")).alias("members"))
-    edges = arrow_map(tiles.select("members"), _similar_edges(shingle, least), "members", _EDGES, size=16).select(F.inline("edges"))
-    return components(edges).withColumnRenamed("node", "text_key")
+    keys = sketches.select(F.col("text_key").alias("node"), F.explode("bands").alias("key")).distinct()
+    lists = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").cast("int").alias("n")).where("n > 1")
+    members = materialize(keys.join(lists, "key").withColumn("near", F.col("node") != F.col("first")), "near-members")
+    wanted = members.select(F.col("node").alias("text_key")).distinct()
+    copies = materialize(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), "near-texts")
+    left, right = (copies.select(F.col("text_key").alias(k), F.col("text").alias(t)) for k, t in (("a", "left"), ("b", "right")))
+
+    def edges(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(left, "a").join(right, "b")
+        bounded(joined)
+        return joined.mapInArrow(_similar(shingle, least), "a BIGINT, b BIGINT")
+
+    # that they share a band is all that is known of two members
+    found = linked(members, edges, (), lambda one, other: one["node"] != other["node"], TILE, "near")
+    forget(members)
+    forget(copies)
+    return found.withColumnRenamed("node", "text_key")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -232,12 +231,12 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with its own columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    sketches = materialize(arrow_map(texts, lambda: lambda values: [(b,) for b in text_bands(values, shingle).tolist()], "text", _BANDS, binary=True), "sketches")
+    sketches = materialize(arrow_map(texts, lambda: lambda values: [(b,) for b in text_bands(values, shingle).tolist()], "text", _BANDS, binary=True, size=64), "sketches")
     found = _similar_components(sketches, texts.select("text_key", "text"), shingle, least)
     # the row to stay: of the smallest id, then of the smallest text key
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     rooted = sketches.select("doc_id", "text_key").join(found, "text_key", "left")
-    stay = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("stay_id"), F.col("o.text_key").alias("stay_key"))
-    rows = packed(docs, own_id=F.col(id_col), text_key=F.xxhash64(text))
-    kept = rows.join(stay, (F.col("text_key") == F.col("stay_key")) & F.col("own_id").eqNullSafe(F.col("stay_id")))
-    return unpacked(kept.dropDuplicates(["own_id", "text_key"]))
+    stay = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min(order).alias("o")).select(F.xxhash64("o.doc_id").alias("id_key"), F.col("o.text_key").alias("text_key"))
+    # joined and made distinct by the same keys: texts are shuffled once
+    rows = packed(docs, id_key=F.xxhash64(id_col), text_key=F.xxhash64(text))
+    return unpacked(rows.join(stay, ["text_key", "id_key"], "left_semi").dropDuplicates(["text_key", "id_key"]))
