@@ -53,6 +53,13 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nothing refers to any more, which it does when the driver collects
+    its garbage. For use after a large table has been written from them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of an input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
