@@ -73,6 +73,7 @@ def segments(path: Column) -> Column:
 
 # ---- identifiers in requirement texts
 
+# What a path, a type, a call, a member, an enum value and a camel-case word look like.
 PATH = r"(?U)(?<![\w/])(/(?:[A-Za-z_{][\w\-{}.]*)(?:/[A-Za-z_{][\w\-{}.]*)+)"
 TYPE_NAME = rf"(?U)\b([A-Z][A-Za-z0-9_]*(?:{'|'.join(S.TYPE_SUFFIXES)}))\b"
 CALL = r"(?U)\b([a-z][A-Za-z0-9_]*)\s*\("
@@ -144,7 +145,8 @@ def identifiers(text: Column, digits: int = 5, trim_tail: bool = False) -> Colum
 
 def bm25_tokens(c: Column) -> Column:
     """Words of two characters and more, camel case split, and pairs of neighbouring CJK characters."""
-    low = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " "))
+    t = F.coalesce(c, F.lit(""))
+    low = F.lower(F.when(t.rlike("[a-z0-9][A-Z]"), F.regexp_replace(t, "(?<=[a-z0-9])(?=[A-Z])", " ")).otherwise(t))
     runs = F.regexp_extract_all(low, F.lit("([一-鿿]+)"), F.lit(1))
     pairs = F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(F.regexp_extract_all(low, F.lit("([a-z][a-z0-9_]+)"), F.lit(1)), F.flatten(pairs))

@@ -34,40 +34,46 @@ def url_lookup(wanted: DataFrame, urls: DataFrame) -> DataFrame:
 
 def register_urls(bases: DataFrame, subs: DataFrame, keys: list[str]) -> DataFrame:
     """key, path of every base path × sub path of one owner: bases (keys, base), subs (keys, sub, http)."""
+    if not keys:
+        raise ValueError("base paths belong to an owner: without a key all would meet all")
     path = X.join_path(F.col("base"), F.col("sub"))
-    both = subs.join(bases, keys) if keys else subs.crossJoin(bases)
+    both = subs.join(bases, keys)
     return both.withColumn("path", path).withColumn("key", F.concat_ws(" ", F.coalesce("http", F.lit("ANY")), "path"))
 
 
 GRAM = 3
 
 
-def _grams(c: Column) -> Column:
+def _grams(c: Column, size: int) -> Column:
     n = F.length(c)
-    return F.array_distinct(F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>")))
 
 
-def nearest_names(missed: DataFrame, names: DataFrame, limit: int = 3) -> DataFrame:
-    """For each missed target the first `limit` names, by ord, that hold it or that it holds, case aside, without those
-    equal to it: (target, name, name_ord, rank). names: (name, name_ord), a row a name.
+def _inside(short: DataFrame, long: DataFrame, by: list[str], s: str, t: str) -> DataFrame:
+    """Rows of `short` beside rows of `long` whose string t holds their string s and is longer.
 
-    Containment shares every n-gram of the shorter string, so candidates meet on one of its grams: the rarest of each
-    side's decides. Strings shorter than a gram are few by nature and are compared by a join of their own.
+    They meet on one gram of s: the rarest of its GRAM-grams by how many rows of `long` hold it, or s itself where it is
+    no longer than a gram.
     """
-    low_t = missed.select("target", F.lower("target").alias("t")).distinct()
-    low_n = names.select("name", "name_ord", F.lower("name").alias("n"))
-    contains = (F.col("n").contains(F.col("t")) | F.col("t").contains(F.col("n"))) & (F.col("n") != F.col("t"))
-    # target in name: join each name's grams with one gram of the target; name in target: the other way round
-    t_one, n_one = low_t.where(F.length("t") >= GRAM), low_n.where(F.length("n") >= GRAM)
-    first_gram = lambda c: F.substring(c, 1, GRAM)
-    inside_name = t_one.withColumn("g", first_gram(F.col("t"))).join(n_one.withColumn("g", F.explode(_grams(F.col("n")))), "g")
-    inside_target = t_one.withColumn("g", F.explode(_grams(F.col("t")))).join(n_one.withColumn("g", first_gram(F.col("n"))), "g")
-    columns = ["target", "t", "name", "name_ord", "n"]
-    found = inside_name.select(*columns).union(inside_target.select(*columns)).where(contains)
-    short_t, short_n = low_t.where(F.length("t") < GRAM), low_n.where(F.length("n") < GRAM)
-    short = short_t.join(low_n, contains).select(*columns).union(t_one.join(short_n, contains).select(*columns))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("name_ord", "name"))
-    return found.union(short).distinct().withColumn("rank", rank).where(F.col("rank") <= limit).select("target", "name", "name_ord", "rank")
+    sizes = [F.transform(_grams(F.col(t), n), lambda g: g) for n in range(1, GRAM + 1)]
+    held = long.withColumn("g", F.explode(F.concat(*sizes)))
+    rarity = held.where(F.length("g") == GRAM).groupBy(*by, "g").agg(F.count("*").alias("_df"))
+    own = short.where(F.length(s) > GRAM).withColumn("g", F.explode(_grams(F.col(s), GRAM))).join(rarity, [*by, "g"], "left")
+    # a gram that no row holds settles it: it is the rarest, and the string is in none
+    best = own.groupBy(*short.columns).agg(F.min_by("g", F.struct(F.coalesce("_df", F.lit(0)), "g")).alias("g"))
+    few = short.where((F.length(s) <= GRAM) & (F.length(s) > 0)).withColumn("g", F.col(s))
+    return best.unionByName(few).join(held, [*by, "g"]).where(F.col(t).contains(F.col(s)) & (F.col(s) != F.col(t))).drop("g")
+
+
+def nearest_names(missed: DataFrame, names: DataFrame, limit: int = 3, by: list[str] = []) -> DataFrame:
+    """For each missed target the first `limit` names, by ord, that hold it or that it holds, case aside, without those
+    equal to it: (by, target, name, name_ord, rank). names: (by, name, name_ord), a row a name; `by` must be equal."""
+    targets = missed.select(*by, "target", F.lower("target").alias("t")).distinct()
+    named = names.select(*by, "name", "name_ord", F.lower("name").alias("n"))
+    columns = [*by, "target", "name", "name_ord"]
+    found = _inside(targets, named, by, "t", "n").select(*columns).union(_inside(named, targets, by, "n", "t").select(*columns))
+    rank = F.row_number().over(Window.partitionBy(*by, "target").orderBy("name_ord", "name"))
+    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= limit).select(*columns, "rank")
 
 
 def nearest_urls(missed: DataFrame, urls: DataFrame, limit: int = 3) -> DataFrame:
@@ -108,19 +114,69 @@ def checks(items: DataFrame, ids: str = "ids") -> DataFrame:
     return items.select("item_id", "kind", F.posexplode(own).alias("check_ord", "c")).select("item_id", "kind", "check_ord", "c.*")
 
 
-def run_checks(all_checks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """checks with hits: array of (sym_ord, file, line, owner, handler) in index order, empty where nothing was found."""
+#: Sites that a check's hits keep; the count of hits is of all.
+SITES = 10
+_SITE = "STRUCT<sym_ord:BIGINT,file:STRING,line:INT,owner:STRING,handler:STRING>"
+
+
+def _symbol_keys(symbols: DataFrame) -> DataFrame:
+    """symbols with what checks ask for: family, key (a normalised path for endpoints) and verb."""
+    url = F.col("family") == "urls"
+    key = F.when(url, X.norm_url(X.key_path(F.col("name")))).otherwise(F.col("name"))
+    return symbols.select(F.col("family").alias("_s_family"), key.alias("_s_key"), F.when(url, X.key_verb(F.col("name"))).otherwise("ANY").alias("_s_verb"), "sym_ord", "file", "line", "owner", "handler")
+
+
+def _asked(all_checks: DataFrame) -> tuple[DataFrame, Column]:
+    """checks with the key they ask for, and the condition on _symbol_keys()."""
     family = F.create_map(*[F.lit(x) for pair in SYMBOL_FAMILY.items() for x in pair])
-    site = F.struct("sym_ord", F.col("s_file").alias("file"), F.col("s_line").alias("line"), F.col("s_owner").alias("owner"), F.col("s_handler").alias("handler"))
     key = F.when(F.col("family") == "urls", X.norm_url(F.col("target"))).otherwise(F.col("target"))
     wanted = all_checks.withColumn("_family", F.element_at(family, F.col("family"))).withColumn("_key", key)
-    own_key = F.when(F.col("family") == "urls", X.norm_url(X.key_path(F.col("name")))).otherwise(F.col("name"))
-    verb = F.when(F.col("family") == "urls", X.key_verb(F.col("name")))
-    s = symbols.select(F.col("family").alias("_s_family"), own_key.alias("_s_key"), verb.alias("_s_verb"), "sym_ord", F.col("file").alias("s_file"), F.col("line").alias("s_line"), F.col("owner").alias("s_owner"), F.col("handler").alias("s_handler"))
-    asked = F.upper(F.coalesce("http", F.lit("")))
-    fits = (F.col("_family") == F.col("_s_family")) & (F.col("_key") == F.col("_s_key")) & (asked.isin("", "ANY") | F.col("_s_verb").isNull() | (F.col("_s_verb") == "ANY") | (F.col("_s_verb") == asked))
-    joined = wanted.join(s, fits, "left")
-    return joined.groupBy("item_id", "kind", "check_ord", "family", "target", "http").agg(F.array_sort(F.collect_list(F.when(F.col("sym_ord").isNotNull(), site))).alias("hits"))
+    verb = F.upper(X.strip(F.coalesce("http", F.lit(""))))
+    return wanted, (F.col("_family") == F.col("_s_family")) & (F.col("_key") == F.col("_s_key")) & (verb.isin("", "ANY") | F.col("_s_verb").isin("ANY") | (F.col("_s_verb") == verb))
+
+
+def hit_sites(all_checks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A row for each hit of each check: checks' columns, sym_ord, file, line, owner, handler."""
+    wanted, fits = _asked(all_checks)
+    return wanted.join(_symbol_keys(symbols), fits).select(*all_checks.columns, "sym_ord", F.col("file"), "line", "owner", "handler")
+
+
+def run_checks(all_checks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """checks with n_hits and hits: the first SITES different places in index order as an array of (sym_ord, file, line,
+    owner, handler), empty where nothing was found.
+
+    Symbols of one key are counted and cut to their first places before they meet the checks, so a name that stands in
+    a third of all code is one row there.
+    """
+    keyed, group = _symbol_keys(symbols), ["_s_family", "_s_key", "_s_verb"]
+    places = keyed.groupBy(*group, "file", "line").agg(F.min_by(F.struct("owner", "handler"), "sym_ord").alias("o"), F.min("sym_ord").alias("sym_ord"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("sym_ord"))
+    first = places.withColumn("rank", rank).where(F.col("rank") <= SITES)
+    site = F.struct("sym_ord", "file", "line", F.col("o.owner").alias("owner"), F.col("o.handler").alias("handler")).cast(_SITE)
+    sites = first.groupBy(*group).agg(F.collect_list(site).alias("sites"))
+    index = places.groupBy(*group).agg(F.sum("n").alias("n")).join(sites, group)
+    wanted, fits = _asked(all_checks)
+    joined = wanted.join(index, fits, "left").groupBy(*all_checks.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"), F.flatten(F.collect_list("sites")).alias("all"))
+    return joined.select(*all_checks.columns, "n_hits", F.slice(F.array_sort("all"), 1, SITES).alias("hits"))
+
+
+def nearest_on_miss(checked: DataFrame, symbols: DataFrame, limit: int = 3) -> DataFrame:
+    """checks with `nearest`, what the index has that is like a target without a hit: (name, file, line) of the first
+    place of each name. Error codes have none."""
+    family = F.create_map(*[F.lit(x) for pair in SYMBOL_FAMILY.items() for x in pair])
+    missed = checked.where((F.col("n_hits") == 0) & (F.col("family") != "error_codes")).select(F.element_at(family, F.col("family")).alias("s_family"), "target").distinct()
+    plain = symbols.where("family NOT IN ('urls', 'error_codes')").groupBy(F.col("family").alias("s_family"), "name").agg(F.min("sym_ord").alias("name_ord"), F.min_by(F.struct("file", "line"), "sym_ord").alias("at"))
+    urls = symbols.where("family = 'urls'").groupBy(X.key_path(F.col("name")).alias("name")).agg(F.min("sym_ord").alias("name_ord"), F.min_by(F.struct("file", "line"), "sym_ord").alias("at"))
+    by_name = nearest_names(missed.where("s_family != 'urls'"), plain, limit, ["s_family"]).join(plain.select("s_family", "name", "at"), ["s_family", "name"])
+    by_path = nearest_urls(missed.where("s_family = 'urls'"), urls.select(F.col("name").alias("path"), F.col("name_ord").alias("path_ord")), limit)
+    by_path = by_path.join(urls.select(F.col("name").alias("path"), "at"), "path").select(F.lit("urls").alias("s_family"), "target", F.col("path").alias("name"), "rank", "at")
+    both = by_name.select("s_family", "target", "name", "rank", "at").unionByName(by_path)
+    one = F.struct("rank", "name", F.col("at.file").alias("file"), F.col("at.line").alias("line"))
+    lists = both.groupBy("s_family", "target").agg(F.array_sort(F.collect_list(one)).alias("_near"))
+    named = F.transform("_near", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["line"].alias("line")))
+    rows = checked.withColumn("s_family", F.element_at(family, F.col("family"))).join(lists, ["s_family", "target"], "left")
+    near = F.when((F.col("n_hits") == 0) & F.col("_near").isNotNull(), named).otherwise(F.array().cast("array<struct<name:string,file:string,line:int>>"))
+    return rows.select(*checked.columns, near.alias("nearest"))
 
 
 def flatten_hits(checked: DataFrame) -> DataFrame:
@@ -137,10 +193,10 @@ def flatten_hits(checked: DataFrame) -> DataFrame:
 
 def static_verdicts(items: DataFrame, checked: DataFrame) -> DataFrame:
     """item_id, route, verdict, reason of items (item_id, kind), from how many of their checks were hit."""
-    hit = F.size("hits")
+    hits = F.col("n_hits")
     sums = checked.groupBy("item_id").agg(
-        F.count("*").alias("n"), F.count_if(hit > 0).alias("found"), F.max(hit).alias("most"),
-        F.array_sort(F.collect_list(F.when(hit == 0, F.struct("check_ord", "target")))).alias("missed"),
+        F.count("*").alias("n"), F.count_if(hits > 0).alias("found"), F.max(hits).alias("most"),
+        F.array_sort(F.collect_list(F.when(hits == 0, F.struct("check_ord", "target")))).alias("missed"),
     )
     rows = items.select("item_id", "kind").join(sums, "item_id", "left")
     existence, n = F.col("kind") == "existence", F.coalesce("n", F.lit(0))
@@ -159,8 +215,10 @@ def summarize(static: DataFrame) -> DataFrame:
     return static.groupBy("route", "verdict").agg(F.count("*").alias("n_items"))
 
 
-def search_log(items: DataFrame, n_files: Column, ids: str = "ids") -> DataFrame:
-    """What was searched for each item: number of files and keywords in order."""
+def search_log(items: DataFrame, scope: list[str], n_files: Column, ids: str = "ids") -> DataFrame:
+    """What was searched for each item: roots, number of files, families and keywords in order."""
     i = F.col(ids)
     words = F.array_distinct(F.concat(F.transform(i["urls"], lambda u: u["path"]), i["types"], i["methods"], i["fields"], i["error_codes"], i["enum_values"]))
-    return items.select("item_id", F.struct(n_files.alias("file_count"), words.alias("keywords")).alias("search_log"))
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    said = F.struct(strings(scope).alias("scope"), n_files.cast("bigint").alias("file_count"), strings(CHECK_ORDER).alias("indexes_searched"), words.alias("keywords"))
+    return items.select("item_id", said.alias("search_log"))

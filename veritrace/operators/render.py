@@ -43,9 +43,9 @@ def counts(placed: DataFrame) -> DataFrame:
     )
 
 
-def sample(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """`size` rows, each as likely as any other, the same for a seed."""
-    return rows.orderBy(F.rand(seed)).limit(size)
+def sample(rows: DataFrame, size: int, seed: int = 0, key: str = "item_id") -> DataFrame:
+    """`size` rows, each as likely as any other: the same for a seed, however the rows are dealt to tasks."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(size)
 
 
 def first_position(evidence: Column) -> Column:
@@ -63,38 +63,56 @@ def first_nearest(nearest: Column) -> Column:
     return F.coalesce(F.get(F.transform(nearest, lambda n: F.concat_ws(" ", n["name"], F.concat_ws(":", n["file"], n["line"].cast("string")))), F.lit(0)), F.lit(""))
 
 
-def record_text(position: Column, quote: Column) -> Column:
-    """One record of a report: rows have item_id, group, assertion, verdict, checked_by, reason."""
-    quoted = F.when(quote != "", F.concat(F.lit("\n\n> "), F.regexp_replace(quote, "\n", "\n> "))).otherwise("")
+SNIPPET_LINES = 4
+
+
+def with_snippets(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records with snippet and earlier_snippet: what their evidence quotes, else SNIPPET_LINES lines of the file from the
+    evidence's line on, or from the line before; empty where there is neither. files: file, text."""
+    quote = first_quote(F.col("evidence"))
+    named = F.get(F.filter("evidence", lambda e: F.coalesce(e["file"], F.lit("")) != ""), F.lit(0))
+    at = records.withColumn("_quote", quote).withColumn("_file", named["file"]).withColumn("_line", named["line"].cast("string"))
+    line = F.coalesce(F.expr("try_cast(_line AS INT)"), F.lit(1))
+    rows = at.join(files.select(F.col("file").alias("_file"), F.col("text").alias("_text")), "_file", "left")
+    part = lambda start: F.coalesce(F.array_join(F.slice(F.split("_text", "\n"), F.greatest(start, F.lit(1)), SNIPPET_LINES), "\n"), F.lit(""))
+    said = lambda start: F.when(F.col("_quote") != "", F.col("_quote")).otherwise(part(start))
+    return rows.withColumn("snippet", said(line)).withColumn("earlier_snippet", said(line - 1)).drop("_quote", "_file", "_line", "_text")
+
+
+def record_text(snippet: Column) -> Column:
+    """One record of a report: rows have item_id, assertion, verdict, checked_by, reason, evidence, nearest. What is
+    missing shows what the code has that is like it; what was done otherwise or is open shows where and what."""
+    shown = F.when(snippet != "", F.concat(F.lit("\n\n> "), F.regexp_replace(snippet, "\n", "\n> "))).otherwise("")
+    position, like = first_position(F.col("evidence")), first_nearest(F.col("nearest"))
     at = F.when(position != "", F.concat(F.lit("\n- where: "), position)).otherwise("")
-    return F.concat(F.lit("### "), F.col("item_id"), F.lit(" "), F.col("assertion"), F.lit("\n\n- verdict: "), F.col("verdict"), F.lit("\n- checked: "), label(F.col("checked_by")), F.lit("\n- reason: "), F.coalesce("reason", F.lit("")), at, quoted)
+    closest = F.when((F.col("verdict") == "missing") & (like != ""), F.concat(F.lit("\n- closest: "), like)).otherwise("")
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit("\n- reason: "), "reason")).otherwise("")
+    return F.concat(F.lit("### "), F.col("item_id"), F.lit(" "), F.col("assertion"), F.lit("\n\n- verdict: "), F.col("verdict"), F.lit("\n- checked: "), label(F.col("checked_by")), reason, at, closest, shown)
+
+
+def extra_text() -> Column:
+    """One endpoint that nobody asked for."""
+    return F.concat(F.lit("### "), "http", F.lit(" "), "path", F.lit("\n\n- where: "), F.concat_ws(":", "file", F.col("line").cast("string")), F.lit("\n- handler: "), F.concat_ws(".", "owner", "handler"))
 
 
-def reports(records: DataFrame, extras: DataFrame, sample_size: int = 20, seed: int = 0) -> DataFrame:
-    """(report, ord, text) of the reports `fix` and `confirm`, to be written in order; only sections with rows appear.
+def reports(records: DataFrame, extras: DataFrame, files: DataFrame, sample_size: int = 20, seed: int = 0) -> DataFrame:
+    """(report, ord, text) of the reports `fix` and `confirm`, to be written in order; sections are numbered as they
+    come, and only those with rows appear.
 
-    records: item_id, item_ord, group, assertion, verdict, checked_by, reason, placement, evidence.
+    records: item_id, item_ord, assertion, verdict, checked_by, reason, placement, evidence, nearest.
     """
-    body = record_text(first_position(F.col("evidence")), first_quote(F.col("evidence")))
-    fix = records.where(F.col("placement") == S.PLACE_FIX).withColumn("section", F.when(F.col("verdict") == "missing", "1 Not done").otherwise("2 Done otherwise"))
-    confirm = records.where(F.col("placement") == S.PLACE_CONFIRM).withColumn("section", F.lit("1 To be confirmed"))
-    shown = sample(records.where((F.col("placement") == S.PLACE_OK) & (F.size("evidence") > 0)), sample_size, seed).withColumn("section", F.lit("3 Sample of what was found in order"))
-    parts = []
-    for report, rows in (("fix", fix), ("fix", shown), ("confirm", confirm)):
-        parts.append(rows.select(F.lit(report).alias("report"), "section", F.col("item_ord").cast("string").alias("o"), body.alias("text")))
-    said = F.concat(F.lit("### "), "http", F.lit(" "), "path", F.lit("\n\n- where: "), F.concat_ws(":", "file", F.col("line").cast("string")), F.lit("\n- handler: "), F.concat_ws(".", "owner", "handler"))
-    parts.append(extras.select(F.lit("confirm").alias("report"), F.lit("2 In code, not asked for").alias("section"), F.col("path").alias("o"), said.alias("text")))
-    limits = counts(records).select(F.lit("fix").alias("report"), F.lit("4 Limits").alias("section"), F.col("placement").alias("o"), F.concat(F.lit("- "), "placement", F.lit(": "), F.col("n_items").cast("string"), F.lit(" items, not reviewed "), F.col("n_pending").cast("string"), F.lit(", quotes failed "), F.col("n_bounced").cast("string")).alias("text"))
-    rows = parts[0]
-    for p in [*parts[1:], limits]:
-        rows = rows.union(p)
-    heads = rows.select("report", "section").distinct().select("report", "section", F.lit("").alias("o"), F.concat(F.lit("\n## "), F.regexp_replace("section", r"^\d+ ", "")).alias("text"))
-    both = rows.withColumn("head", F.lit(1)).union(heads.withColumn("head", F.lit(0)))
-    return both.select("report", F.struct("section", "head", F.lpad("o", 20, "0").alias("o")).alias("ord"), "text")
-
-
-def packs(rows: DataFrame, batch: str, order: str, text: Column, rules: str, prefix: str) -> DataFrame:
-    """(batch, name, text): a task pack for each batch, named prefix-001..., its rules first."""
-    body = ordered_text(rows, batch, F.col(order), text, "body", "\n\n")
-    name = F.format_string(f"{prefix}-%03d", F.col(batch))
-    return body.select(batch, name.alias("name"), F.concat(F.lit("# "), name, F.lit(f"\n\n{rules}\n\n"), "body").alias("text"))
+    rows = with_snippets(records, files)
+    fix = rows.where(F.col("placement") == S.PLACE_FIX).withColumn("section", F.when(F.col("verdict") == "missing", "1 Not done").otherwise("2 Done otherwise"))
+    confirm = rows.where(F.col("placement") == S.PLACE_CONFIRM).withColumn("section", F.lit("1 To be confirmed"))
+    shown = sample(rows.where((F.col("placement") == S.PLACE_OK) & (F.size("evidence") > 0)), sample_size, seed).withColumn("section", F.lit("3 Sample of what was found in order"))
+    text = lambda part, name, body, o: part.select(F.lit(name).alias("report"), "section", o.alias("o"), body.alias("text"))
+    number = F.lpad(F.col("item_ord").cast("string"), 20, "0")
+    out = text(fix, "fix", record_text(F.col("snippet")), number).union(text(shown, "fix", record_text(F.col("earlier_snippet")), number)).union(text(confirm, "confirm", record_text(F.col("snippet")), number))
+    out = out.union(text(extras.withColumn("section", F.lit("2 In code, not asked for")), "confirm", extra_text(), F.col("path")))
+    limit = F.concat(F.lit("- "), "placement", F.lit(": "), F.col("n_items").cast("string"), F.lit(" items, not reviewed "), F.col("n_pending").cast("string"), F.lit(", quotes failed "), F.col("n_bounced").cast("string"), F.lit(", undecidable "), F.col("n_undecidable").cast("string"))
+    out = out.union(text(counts(records).withColumn("section", F.lit("4 Limits")), "fix", limit, F.col("placement")))
+    # only sections, not their rows, meet where headings are numbered
+    sections = out.select("report", "section").distinct().withColumn("n", F.row_number().over(Window.partitionBy("report").orderBy("section")))
+    heads = sections.select("report", "section", F.lit("").alias("o"), F.concat(F.lit("## "), F.col("n").cast("string"), F.lit(". "), F.regexp_replace("section", r"^\d+ ", "")).alias("text"))
+    both = out.withColumn("head", F.lit(1)).union(heads.withColumn("head", F.lit(0)))
+    return both.select("report", F.struct("section", "head", "o").alias("ord"), "text")

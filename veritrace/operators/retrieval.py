@@ -24,28 +24,43 @@ def document_frequencies(tf: DataFrame, n: int) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, top_k: int = 5, min_ratio: float = 0.0, order: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the first top_k documents by score, ties by doc order, down to min_ratio of the
-    best. Only documents that share a term with a query are scored; terms no query has leave before the join."""
+    best. Only documents that share a term with a query are scored; terms no query has leave before the shuffle.
+
+    Documents are read and cut into tokens once: an empty term stands for each document itself, and the corpus figures,
+    document frequencies and weights are three readings of one shuffled table (document, term, frequency). A term's
+    weights are cut to what can be scored by the queries' terms, and each query's best are chosen in every task before
+    they meet.
+    """
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.bm25_tokens(F.col(query_text)))).alias("term"))
+    wanted = q.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(order or doc_id).alias("doc_ord"), X.bm25_tokens(F.col(doc_text)).alias("terms"))
-    d = d.withColumn("dl", F.size("terms"))
-    stats = d.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))  # one row
-    wanted = q.select("term").distinct()
-    tf = d.select("doc_id", "doc_ord", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "doc_ord", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    terms = d.select("doc_id", "doc_ord", F.size("terms").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("t"))
+    terms = terms.select("doc_id", "doc_ord", "dl", F.coalesce("t", F.lit("")).alias("term"))  # not null: no filter of its own for each reading
+    tf = terms.join(wanted, "term", "left_semi").groupBy("doc_id", "doc_ord", "dl", "term").agg(F.count("*").alias("tf"))
+    own = F.when(F.col("term") == "", F.col("tf"))
+    stats = tf.agg(F.count(own).alias("n"), F.coalesce(F.sum(own * F.col("dl")) / F.count(own), F.lit(0.0)).alias("avg_dl"))  # one row
+    df = tf.groupBy("term").agg(F.count("tf").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avg_dl")))
-    weights = tf.join(df, "term").join(F.broadcast(stats)).select("doc_id", "doc_ord", "term", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
-    scored = q.join(weights, "term").groupBy("query_id", "doc_id", "doc_ord").agg(F.round(F.sum("w"), 9).alias("score"))
+    asked = q.join(df, "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg_dl")
+    scored = tf.join(asked, "term").groupBy("query_id", "doc_id", "doc_ord").agg(F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
     w = Window.partitionBy("query_id")
     ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_ord"))).where(F.col("rank") <= top_k)
     best = F.max("score").over(w)
     return ranked.where("score > 0").withColumn("best", best).where(F.col("score") >= F.col("best") * min_ratio).select("query_id", "doc_id", "score", "rank")
 
 
+def symbol_bm25(queries: DataFrame, symbols: DataFrame, query_id: str, query_text: str, top_k: int = 5, min_ratio: float = 0.3) -> DataFrame:
+    """bm25() over the documented types and methods of an index: query_id, score, rank, file, line, name, owner."""
+    docs = symbol_documents(symbols)
+    found = bm25(queries, docs, query_id, query_text, "sym_ord", "text", top_k, min_ratio, order="doc_ord")
+    return found.withColumnRenamed("doc_id", "sym_ord").join(docs.select("sym_ord", "file", "line", "name", "owner"), "sym_ord")
+
+
 def symbol_documents(symbols: DataFrame) -> DataFrame:
     """The corpus of documented types and methods: types first, names by first appearance."""
     rows = symbols.where(F.col("family").isin("types", "methods"))
     kind = F.when(F.col("family") == "types", 0).otherwise(1)
     first = F.min("sym_ord").over(Window.partitionBy("family", "name"))
     words = F.concat_ws(" ", "doc", "name", F.when(F.col("family") == "types", F.col("file")).otherwise(F.col("owner")))
-    return rows.select("file", "line", "name", "owner", words.alias("text"), F.struct(kind.alias("k"), first.alias("first"), "sym_ord").alias("doc_ord"))
+    return rows.select("sym_ord", "file", "line", "name", "owner", words.alias("text"), F.struct(kind.alias("k"), first.alias("first"), "sym_ord").alias("doc_ord"))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -330,9 +330,21 @@ def index_summary(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols.agg(own("types").alias("n_types"), own("methods").alias("n_methods"), own("urls").alias("n_urls")).join(files.agg(F.count("*").alias("n_files")))
 
 
+def _stamps(path: str, stamp: str, size: str) -> Column:
+    return F.concat_ws(":", path, F.col(stamp).cast("string"), F.col(size).cast("string"))
+
+
 def fingerprint(files: DataFrame, path: str = "file", stamp: str = "mtime", size: str = "size", config: EngineConfig = EngineConfig()) -> DataFrame:
-    """sha1 over `path:stamp:size` of all files in string order, and over what changes an index besides: one row. A
-    line a file is gathered, not its text."""
-    said = F.concat_ws(":", path, F.col(stamp).cast("string"), F.col(size).cast("string"))
-    joined = F.array_join(F.array_sort(F.collect_list(said)), "\n")
+    """sha1 over `path:stamp:size` of all files in string order, and over what changes an index besides: one row. The form
+    for small trees: a line of every file meets in one task. tree_fingerprint() has no such bound."""
+    joined = F.array_join(F.array_sort(F.collect_list(_stamps(path, stamp, size))), "\n")
     return files.agg(F.sha1(F.concat(F.lit(f"digits={config.error_code_digits}\n"), joined)).alias("fingerprint"))
+
+
+def tree_fingerprint(files: DataFrame, path: str = "file", stamp: str = "mtime", size: str = "size", config: EngineConfig = EngineConfig()) -> DataFrame:
+    """As fingerprint(), over digests of buckets of files: one row. A file's bucket is the beginning of its path's sha1, so
+    65,536 buckets at most meet in the last task, and one bucket's lines in each before."""
+    said = files.select(F.left(F.sha1(path), F.lit(4)).alias("bucket"), _stamps(path, stamp, size).alias("said"))
+    buckets = said.groupBy("bucket").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("said")), "\n")).alias("digest"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "digest"))), "\n")
+    return buckets.agg(F.sha1(F.concat(F.lit(f"digits={config.error_code_digits}\n"), joined)).alias("fingerprint"))

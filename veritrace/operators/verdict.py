@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..config import EngineConfig
 from ..functions import text as X
-from .context import resolved_within
+from .context import in_windows, resolved_within
 
-OK_EVIDENCE, NO_EVIDENCE, NO_FILE, EMPTY_QUOTE, OUTSIDE, NO_SUCH_FILE, BAD_LINE, MISMATCH = "ok", "no_evidence", "no_file", "empty_quote", "outside", "no_such_file", "bad_line", "mismatch"
+OK_EVIDENCE, NO_EVIDENCE, NO_FILE, EMPTY_QUOTE, OUTSIDE, NO_SUCH_FILE, BAD_LINE, MISMATCH, OFF_WINDOW = "ok", "no_evidence", "no_file", "empty_quote", "outside", "no_such_file", "bad_line", "mismatch", "off_window"
 
 
 def quote_tier(quote: Column, window: Column) -> Column:
@@ -25,14 +25,16 @@ def quote_window(text: Column, line: Column, config: EngineConfig = EngineConfig
 
 
 def verify_evidence(rows: DataFrame, files: DataFrame, keys: list[str], evidence: str = "evidence", config: EngineConfig = EngineConfig()) -> DataFrame:
-    """A row for each piece of evidence of `rows` (and one where there is none): keys, ev_ord, file, line, problem.
+    """A row for each piece of evidence of `rows` (and one where there is none): keys, ev_ord, file, line, quote, problem,
+    and numeric: whether a line number was given.
 
     Files are a table (file, text), so a path that climbs out can never be read; it keeps a problem of its own.
     """
     ev = rows.select(*keys, F.posexplode_outer(evidence).alias("ev_ord", "e"))
     quote, file = X.strip(F.coalesce("e.quote", F.lit(""))), X.strip(F.coalesce("e.file", F.lit("")))
     said = F.coalesce(F.col("e.line"), F.lit("0"))
-    ev = ev.select(*keys, "ev_ord", F.col("e").isNull().alias("_none"), file.alias("file"), quote.alias("quote"), F.when(said.rlike(r"^\s*[+-]?\d+\s*$"), F.expr("try_cast(trim(coalesce(e.line, '0')) AS INT)")).otherwise(1).alias("line"), resolved_within(file).alias("_at"))
+    numeric = said.rlike(r"^\s*[+-]?\d+\s*$")
+    ev = ev.select(*keys, "ev_ord", F.col("e").isNull().alias("_none"), file.alias("file"), quote.alias("quote"), numeric.alias("numeric"), F.when(numeric, F.expr("try_cast(trim(coalesce(e.line, '0')) AS INT)")).otherwise(1).alias("line"), resolved_within(file).alias("_at"))
     read = ev.join(files.select(F.col("file").alias("_file"), F.col("text").alias("_text")), F.col("_at") == F.col("_file"), "left")
     n_lines = F.size(F.split("_text", "\n"))
     tier = quote_tier(F.col("quote"), quote_window(F.col("_text"), F.col("line"), config))
@@ -41,7 +43,7 @@ def verify_evidence(rows: DataFrame, files: DataFrame, keys: list[str], evidence
         .when(F.col("_at").isNull(), OUTSIDE).when(F.col("_file").isNull(), NO_SUCH_FILE)
         .when(F.col("line").isNull() | (F.col("line") < 1) | (F.col("line") > n_lines), BAD_LINE).when(tier == 0, MISMATCH).otherwise(OK_EVIDENCE)
     )
-    return read.select(*keys, "ev_ord", "file", "line", "quote", problem.alias("problem"))
+    return read.select(*keys, "ev_ord", "file", "line", "quote", problem.alias("problem"), "numeric")
 
 
 def problems_of(verified: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,6 +102,28 @@ def effective_second(second: Column, evidence_ok: Column, clauses_pass: Column)
     return F.when(~F.coalesce(known, F.lit(False)) | ~good, "unverifiable").when((second == "confirmed") & ~F.coalesce(clauses_pass, F.lit(False)), "unverifiable").otherwise(second)
 
 
+def verify_second(rows: DataFrame, files: DataFrame, windows: DataFrame, keys: list[str], evidence: str = "evidence") -> DataFrame:
+    """verify_evidence() of a second review: evidence must also begin in a window that its item was shown. keys hold
+    item_id; windows: item_id, file, start, end. Evidence without a line number stands in no window."""
+    checked = verify_evidence(rows, files, keys, evidence).withColumn("at_file", resolved_within(F.col("file")))
+    good = checked.where((F.col("problem") == OK_EVIDENCE) & F.col("numeric"))
+    shown = windows.select("item_id", F.col("file").alias("at_file"), "start", "end")
+    inside = in_windows(good, shown, ["item_id", "at_file"], "line").select(*keys, "ev_ord", F.lit(True).alias("_inside"))
+    off = (F.col("problem") == OK_EVIDENCE) & F.col("_inside").isNull()
+    return checked.join(inside, [*keys, "ev_ord"], "left").withColumn("problem", F.when(off, OFF_WINDOW).otherwise(F.col("problem"))).drop("_inside", "at_file")
+
+
+def effective_seconds(rechecks: DataFrame, files: DataFrame, windows: DataFrame) -> DataFrame:
+    """(item_id, second): what each second verdict counts as, from its evidence and that of its clauses. All evidence of
+    a verdict must pass; of a clause one piece is enough. rechecks: item_id, second_verdict, evidence, clauses."""
+    passes = F.col("problem") == OK_EVIDENCE
+    own = verify_second(rechecks.select("item_id", "evidence"), files, windows, ["item_id"]).groupBy("item_id").agg(F.bool_and(passes).alias("evidence_ok"))
+    clauses = rechecks.select("item_id", F.posexplode("clauses").alias("clause", "c")).select("item_id", "clause", F.col("c.evidence").alias("evidence"))
+    each = verify_second(clauses, files, windows, ["item_id", "clause"])
+    rows = rechecks.select("item_id", "second_verdict").join(own, "item_id", "left").join(clauses_ok(each, ["item_id"], "clause", passes), "item_id", "left")
+    return rows.select("item_id", effective_second(F.col("second_verdict"), F.col("evidence_ok"), F.col("ok")).alias("second"))
+
+
 def decide(first: Column, second: Column) -> Column:
     return F.when((first == "implemented") & (second == "confirmed"), S.PLACE_OK).when((first == "deviated") & (second == "confirmed"), S.PLACE_FIX).otherwise(S.PLACE_CONFIRM)
 

@@ -237,13 +237,13 @@ def url_register(spark, d):
 
 
 @query("""
-WITH t AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part WHERE p_partkey % 7 = 0),
+WITH t AS (SELECT DISTINCT CASE WHEN length(w) % 3 = 0 THEN w || 'x' ELSE w END AS name FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)),
 s AS (SELECT p_partkey AS ord, unnest(string_split(p_name, ' ')) AS name FROM part)
 SELECT t.name, count(s.ord) AS n_hits, min(s.ord) AS first_hit FROM t LEFT JOIN s ON t.name = s.name GROUP BY t.name""")
 def name_lookup(spark, d):
     p = table(spark, d, "part")
     names = p.select(F.col("p_partkey").alias("ord"), F.explode(F.split("p_name", " ")).alias("name"))
-    wanted = names.where("ord % 7 = 0").select("name").distinct()
+    wanted = names.select(F.when(F.length("name") % 3 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")).alias("name")).distinct()
     return lookup.exact_lookup(wanted, names, ["name"]).groupBy("name").agg(F.count("ord").alias("n_hits"), F.min("ord").alias("first_hit"))
 
 
@@ -275,22 +275,26 @@ def nearest_url(spark, d):
 # ---- identifiers and static verdicts
 
 _ASSERTION_SQL = """SELECT p_partkey, 'Part ' || p_partkey || ': call GET /part/' || lower(split_part(p_name, ' ', 1)) || '/{partId} with PartQueryService and code ' || (10000 + p_partkey)
-  || ' or saveItem (x) then if (y); state ' || upper(replace(p_brand, '#', '')) || '_ON; field `retailPrice` of PartItemDTO.getPrice ok' AS a FROM part"""
+  || ' or saveItem (x) then if (y); state ' || upper(replace(p_brand, '#', '')) || '_ON; field ' || t || 'retailPrice' || (p_partkey % 7) || t || ' of PartItemDTO.getPrice' || (p_partkey % 3) || ' ok' AS a
+FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN '`' ELSE '' END AS t FROM part)"""
 
 
 def _assertions(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
+    p, tick = table(spark, d, "part"), F.when(F.col("p_partkey") % 2 == 0, "`").otherwise("")
     a = F.concat(
         F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(": call GET /part/"), F.lower(F.substring_index("p_name", " ", 1)), F.lit("/{partId} with PartQueryService and code "),
-        (10000 + F.col("p_partkey")).cast("string"), F.lit(" or saveItem (x) then if (y); state "), F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("_ON; field `retailPrice` of PartItemDTO.getPrice ok"),
+        (10000 + F.col("p_partkey")).cast("string"), F.lit(" or saveItem (x) then if (y); state "), F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("_ON; field "), tick, F.lit("retailPrice"),
+        (F.col("p_partkey") % 7).cast("string"), tick, F.lit(" of PartItemDTO.getPrice"), (F.col("p_partkey") % 3).cast("string"), F.lit(" ok"),
     )
     return p.select("p_partkey", a.alias("a"))
 
 
 @query(f"""
 SELECT p_partkey, array_to_string(regexp_extract_all(a, '(?:^|[^\\w/])(/[A-Za-z_{{][\\w\\-{{}}.]*(?:/[A-Za-z_{{][\\w\\-{{}}.]*)+)', 1), ',') AS paths,
-  array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Za-z0-9_]*(?:Service|DTO))\\b', 1), ',') AS types, 'getPrice' AS methods, 'retailPrice' AS fields,
-  '' AS error_codes, array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Z0-9]*_[A-Z0-9_]+)\\b', 1), ',') AS enums
+  array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Za-z0-9_]*(?:Service|DTO))\\b', 1), ',') AS types,
+  CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'saveItem,' END || 'getPrice' || (p_partkey % 3) AS methods,
+  CASE WHEN p_partkey % 2 = 0 THEN 'retailPrice' || (p_partkey % 7) ELSE 'partId,saveItem,retailPrice' || (p_partkey % 7) || ',getPrice' || (p_partkey % 3) END AS fields,
+  CASE WHEN p_partkey % 2 = 0 THEN '' ELSE array_to_string(regexp_extract_all(a, ' code ([0-9]{{5}}) ', 1), ',') END AS error_codes, array_to_string(regexp_extract_all(a, '\\b([A-Z][A-Z0-9]*_[A-Z0-9_]+)\\b', 1), ',') AS enums
 FROM ({_ASSERTION_SQL})""")
 def identifier_extract(spark, d):
     rows = _assertions(spark, d).select("p_partkey", X.identifiers(F.col("a")).alias("i"))
@@ -314,7 +318,7 @@ _STATIC_ITEMS = """SELECT p_partkey AS item, CASE WHEN p_partkey % 5 = 0 THEN 'b
   CASE WHEN p_partkey % 7 = 0 THEN [] WHEN p_partkey % 3 = 0 THEN ['K' || p_size || 'Service', 'K' || (p_size + 40) || 'Service'] ELSE ['K' || p_size || 'Service'] END AS ids FROM part"""
 _STATIC_SQL = f"""
 WITH i AS ({_STATIC_ITEMS}),
-s AS (SELECT 'K' || (s_suppkey % 45) || 'Service' AS name, s_suppkey FROM supplier WHERE s_suppkey % 45 <> 7 AND s_suppkey < 70),
+s AS (SELECT 'K' || (s_suppkey % 45) || 'Service' AS name, s_suppkey FROM supplier),
 c AS (SELECT item, unnest(ids) AS target FROM (SELECT item, list_distinct(ids) AS ids FROM i)),
 h AS (SELECT c.item, c.target, count(s.s_suppkey) AS n FROM c LEFT JOIN s ON s.name = c.target GROUP BY 1, 2),
 g AS (SELECT item, count(*) AS n, count(*) FILTER (n > 0) AS found, max(n) AS most FROM h GROUP BY item),
@@ -328,7 +332,7 @@ def _static(spark: SparkSession, d: str) -> DataFrame:
     said = F.when(F.col("p_partkey") % 7 == 0, "nothing").when(F.col("p_partkey") % 3 == 0, F.concat_ws(" and ", one, two)).otherwise(one)
     items = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_partkey") % 5 == 0, "behavior").otherwise("existence").alias("kind"), X.identifiers(said).alias("ids"))
     none = lambda kind: F.lit(None).cast(kind)
-    code = s.where("s_suppkey % 45 <> 7 AND s_suppkey < 70").select(F.lit("types").alias("family"), F.col("s_suppkey").alias("sym_ord"), name(F.col("s_suppkey") % 45).alias("name"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.lit(1).alias("line"), none("string").alias("owner"), none("string").alias("handler"))
+    code = s.select(F.lit("types").alias("family"), F.col("s_suppkey").alias("sym_ord"), name(F.col("s_suppkey") % 45).alias("name"), F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("file"), F.lit(1).alias("line"), none("string").alias("owner"), none("string").alias("handler"))
     checked = lookup.run_checks(lookup.checks(items), code)
     return lookup.static_verdicts(items, checked)
 
@@ -398,15 +402,15 @@ def snippet_slice(spark, d):
     return docs.select("doc_id", X.snippet(F.col("text"), (1 + F.col("doc_id") % 5).cast("int"), 2, 4).alias("code"))
 
 
-_SPANS = "SELECT event_id AS o, user_id, event_id % 500 AS s, event_id % 500 + event_id % 37 AS e FROM events WHERE event_id % 3 = 0"
-_POINTS = "SELECT event_id AS p, user_id, (event_id * 7) % 520 AS at FROM events WHERE event_id % 3 = 1"
+_SPANS = "SELECT event_id AS o, user_id, event_id % 500 AS s, event_id % 500 + event_id % 37 AS e FROM events"
+_POINTS = "SELECT event_id AS p, user_id, (event_id * 7) % 520 AS at FROM events"
 
 
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events")
     i = F.col("event_id")
-    spans = e.where("event_id % 3 = 0").select(i.alias("o"), "user_id", (i % 500).alias("s"), (i % 500 + i % 37).alias("e"))
-    points = e.where("event_id % 3 = 1").select(i.alias("p"), "user_id", (i * 7 % 520).alias("at"))
+    spans = e.select(i.alias("o"), "user_id", (i % 500).alias("s"), (i % 500 + i % 37).alias("e"))
+    points = e.select(i.alias("p"), "user_id", (i * 7 % 520).alias("at"))
     return points, spans
 
 
@@ -477,21 +481,20 @@ def quote_reconcile(spark, d):
 
 
 @query("""
-WITH e AS (SELECT b.item_id, CASE b.item_id % 5 WHEN 0 THEN '../x' WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE CAST(b.item_id % 50 AS VARCHAR) END AS file,
-  CASE b.item_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 999999 ELSE 1 END AS line, CASE WHEN b.item_id % 3 = 0 THEN left(d.text, 12) ELSE 'no such words here' END AS quote
-  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id % 50),
+WITH e AS (SELECT doc_id AS item_id, CASE doc_id % 5 WHEN 0 THEN '../x' WHEN 1 THEN 'none' WHEN 2 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS file,
+  CASE doc_id % 4 WHEN 1 THEN 999999 ELSE 1 END AS line, CASE WHEN doc_id % 3 = 0 THEN left(coalesce(text, ''), 12) ELSE 'no such words here' END AS quote FROM documents),
 f AS (SELECT CAST(doc_id AS VARCHAR) AS file, text FROM documents),
 j AS (SELECT e.*, f.text AS t, string_split(f.text, chr(10)) AS ls FROM e LEFT JOIN f ON e.file = f.file),
 w AS (SELECT *, array_to_string(list_slice(ls, line, line + 24), chr(10)) AS win, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS qt FROM j)
 SELECT item_id, CASE WHEN file = '' THEN 'no_file' WHEN qt = '' THEN 'empty_quote' WHEN file LIKE '..%' THEN 'outside' WHEN t IS NULL THEN 'no_such_file' WHEN line > len(ls) THEN 'bad_line'
   WHEN contains(win, qt) OR contains(trim(regexp_replace(win, '\\s+', ' ', 'g')), trim(regexp_replace(qt, '\\s+', ' ', 'g'))) THEN 'ok' ELSE 'mismatch' END AS problem FROM w""")
 def evidence_problems(spark, d):
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    docs = table(spark, d, "documents")
     i = F.col("item_id")
-    rows = b.select("item_id", (i % 50).alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
-    file = F.when(i % 5 == 0, "../x").when(i % 5 == 1, "none").when(i % 5 == 2, "").otherwise((i % 50).cast("string"))
+    rows = docs.select(F.col("doc_id").alias("item_id"), "text")
+    file = F.when(i % 5 == 0, "../x").when(i % 5 == 1, "none").when(i % 5 == 2, "").otherwise(i.cast("string"))
     line = F.when(i % 4 == 1, "999999").otherwise("1")
-    quote = F.when(i % 3 == 0, F.left("text", F.lit(12))).otherwise("no such words here")
+    quote = F.when(i % 3 == 0, F.left(F.coalesce("text", F.lit("")), F.lit(12))).otherwise("no such words here")
     claims = rows.select("item_id", F.array(F.struct(file.alias("file"), line.alias("line"), quote.alias("quote"))).alias("evidence"))
     files = docs.select(F.col("doc_id").cast("string").alias("file"), "text")
     return verdict.verify_evidence(claims, files, ["item_id"]).select("item_id", "problem")
@@ -541,7 +544,7 @@ def recheck_select(spark, d):
 
 @query(f"""
 WITH {_MERGED_SQL},
-s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'bogus' WHEN toxic = 1 THEN 'refuted' ELSE 'confirmed' END AS raw, doc_id % 7 <> 0 AS ev, doc_id % 11 <> 0 AS cl FROM labels WHERE doc_id % 2 = 1),
+s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'bogus' WHEN toxic = 1 THEN 'refuted' ELSE 'confirmed' END AS raw, doc_id % 7 <> 0 AS ev, doc_id % 11 <> 0 AS cl FROM labels),
 e AS (SELECT doc_id, CASE WHEN raw = 'bogus' OR NOT ev THEN 'unverifiable' WHEN raw = 'confirmed' AND NOT cl THEN 'unverifiable' ELSE raw END AS second FROM s),
 a AS (SELECT v.*, route = 'ai' AND verdict IN ('implemented', 'deviated') AND checked_by = 'ai_verified' AND has_evidence AS claim, coalesce(second, 'unverifiable') AS sec FROM v LEFT JOIN e USING (doc_id))
 SELECT doc_id, CASE WHEN claim THEN 'ai_recheck:' || sec ELSE checked_by END AS checked_by,
@@ -549,7 +552,7 @@ SELECT doc_id, CASE WHEN claim THEN 'ai_recheck:' || sec ELSE checked_by END AS
 def recheck_apply(spark, d):
     i = F.col("doc_id")
     raw = F.when(i % 5 == 4, "bogus").when(F.col("toxic") == 1, "refuted").otherwise("confirmed")
-    seconds = table(spark, d, "labels").where("doc_id % 2 = 1").select(i.alias("item_id"), verdict.effective_second(raw, i % 7 != 0, i % 11 != 0).alias("second"))
+    seconds = table(spark, d, "labels").select(i.alias("item_id"), verdict.effective_second(raw, i % 7 != 0, i % 11 != 0).alias("second"))
     return verdict.apply_rechecks(_merged(spark, d), seconds).select(F.col("item_id").alias("doc_id"), "checked_by", F.col("forced_placement").alias("forced"))
 
 
@@ -592,12 +595,12 @@ _USUAL = "(" + ", ".join(f"'{w}'" for w in S.GENERIC_ACTIONS) + ")"
 
 @query(f"""
 WITH u AS MATERIALIZED (SELECT path, min(page_id) AS o FROM {_PATHS} GROUP BY path),
-words AS MATERIALIZED (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{3,}}'))) AS word FROM documents WHERE doc_id < 20
+words AS MATERIALIZED (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{{3,}}'))) AS word FROM documents
   UNION SELECT 'retry1' UNION SELECT 'handler5'),
-said AS (SELECT DISTINCT regexp_replace(path, '\\{{[^}}]*\\}}', '{{}}', 'g') AS path FROM {_PATHS} WHERE page_id % 10 = 0),
+said AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '\\?.*$', ''), '(.)/$', '\\1') AS path FROM pages),
 modules AS (SELECT DISTINCT lower(({_SEGMENTS})[1]) AS module FROM said),
 freq AS (SELECT segment, count(*) AS freq FROM (SELECT DISTINCT path, lower(unnest({_SEGMENTS})) AS segment FROM u) GROUP BY segment),
-p AS (SELECT path, o, {_SEGMENTS} AS segs FROM u WHERE len({_SEGMENTS}) >= 2 AND regexp_replace(path, '\\{{[^}}]*\\}}', '{{}}', 'g') NOT IN (SELECT path FROM said)),
+p AS (SELECT path, o, {_SEGMENTS} AS segs FROM u WHERE len({_SEGMENTS}) >= 2 AND regexp_replace(regexp_replace(regexp_replace(path, '\\?.*$', ''), '(.)/$', '\\1'), '\\{{[^}}]*\\}}', '{{}}', 'g') NOT IN (SELECT path FROM said)),
 parts AS (SELECT path, lower(unnest(segs)) AS segment FROM p),
 judged AS (SELECT path, coalesce(bool_and(w.word IS NOT NULL) FILTER (parts.segment NOT IN {_COMMON} AND coalesce(freq, 0) <= 2), true) AS covered
   FROM parts LEFT JOIN freq USING (segment) LEFT JOIN words w ON w.word = parts.segment GROUP BY path)
@@ -610,8 +613,8 @@ def extra_paths(spark, d):
     handler = F.concat(F.lit("handler"), (F.col("url_ord") % 9).cast("string"))
     urls = urls.select("path", "url_ord", F.lit("GET").alias("http"), F.lit("f").alias("file"), F.lit(1).alias("line"), handler.alias("handler"), F.lit("o").alias("owner"))
     more = spark.range(2).select(F.element_at(F.array(F.lit("retry1"), F.lit("handler5")), (F.col("id") + 1).cast("int")).alias("word"))
-    words = coverage.mention_words(table(spark, d, "documents").where("doc_id < 20")).union(more).distinct()
-    said = _paths(spark, d).where("page_id % 10 = 0").select(X.norm_url(F.col("path")).alias("path")).distinct()
+    words = coverage.mention_words(table(spark, d, "documents")).union(more).distinct()
+    said = table(spark, d, "pages").select(X.norm_url(F.regexp_replace("url", "^https?://[^/]*", "")).alias("path")).distinct()
     return coverage.extra_paths(urls, words, said).select("path", "group", "handler")
 
 
@@ -650,7 +653,7 @@ def report_render(spark, d):
     return render.numbered_sections(rows, "placement", "item_id", F.concat_ws(": ", F.col("item_id").cast("string"), "verdict"))
 
 
-@query()
+@query(f"WITH {_MERGED_SQL} SELECT doc_id AS item_id, verdict FROM p WHERE placement = 'ok' AND has_evidence ORDER BY md5('7:' || doc_id), doc_id LIMIT 20")
 def sample_ok(spark, d):
     return render.sample(_placed(spark, d).where("placement = 'ok' AND has_evidence"), 20, seed=7).select("item_id", "verdict")
 

@@ -29,6 +29,13 @@ def filled_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("file").alias("n_filled"))
 
 
+def counts_per_class(rows: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """One row: of each class how many result files hold at least one row; a file belongs to the class its name begins
+    with."""
+    name = F.element_at(F.split("file", "/"), -1)
+    return rows.agg(*[F.count_distinct(F.when(name.startswith(c), F.col("file"))).alias(f"n_{c.replace('-', '_')}") for c in classes])
+
+
 def load_items(spark: SparkSession, path: str) -> DataFrame:
     return collect_items(read_json_rows(spark, path, "`group` STRING, kind STRING, assertion STRING, source STRUCT<file:STRING,line:INT>, text STRING, note STRING"))
 
