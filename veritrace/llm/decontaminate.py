@@ -1,13 +1,14 @@
 """Benchmark decontamination: a BM25 index of test items, searched block by block, and verified overlaps.
 
-Every training text is cut into passages of twice the longest item, half overlapping, so any copy of an item lies whole
-in one. A passage is a query: an item's score is the share of its own BM25 weight that the passage's distinct words
+Items are dealt to classes by their number of words, each at most twice as many as the least of its class. For each class
+every training text is cut into passages of twice its longest item, half overlapping, so any copy of an item lies whole
+in one, and one long item widens no other's passages. A passage is a query: an item's score is the share of its own BM25 weight that the passage's distinct words
 carry, from 0 to 1, and all items at or over the threshold are retrieved. Postings stand in blocks of items with the
 largest weight a word has in each (block-max): only blocks whose maxima add up to the threshold are scored. The same
 bound over all words of a text skips the passages of texts that cannot hold any item.
 
-Retrieved items are verified: the words of the question and of the answer must stand in the passage in order, to the
-given share each (longest common subsequence). The answer is an item's last sentence, where it has several. Items of
+Retrieved items are verified: the words of the question and of the answer must stand in order, to the given share each
+(longest common subsequence), within a span of SPAN times the item's words. The answer is an item's last sentence, where it has several. Items of
 fewer than SHORT words must stand word for word.
 
 The index is broadcast in blocks of at most BLOCK_CHARS characters of items, one pass over the texts each.
@@ -33,6 +34,7 @@ BLOCK = 16  # items to a block of postings
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHORT = 8
+SPAN = 1.5
 BLOCK_CHARS = 16_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -59,9 +61,10 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 
 class ItemIndex:
-    """Weights by word and item, normalised so that an item's own text scores 1."""
+    """Weights by word and item, normalised so that an item's own text scores 1. frequencies: in how many items a word
+    stands, and of how many, where these are a class of more."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], frequencies: tuple[dict[str, int], int] | None = None):
         split = [(key, words_of(text), text) for key, text in items]
         split = [x for x in split if x[1]]
         self.keys = [x[0] for x in split]
@@ -76,8 +79,11 @@ class ItemIndex:
                 counts[w] = counts.get(w, 0) + 1
             rows += [(self.vocab.setdefault(w, len(self.vocab)), i, n) for w, n in counts.items()]
         term, item, tf = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-        n, df = len(split), np.bincount(term, minlength=len(self.vocab))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        n, df, total = len(split), np.bincount(term, minlength=len(self.vocab)), len(split)
+        if frequencies:
+            known, total = frequencies
+            df = np.array([known[w] for w in self.vocab], np.int64)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         sizes = np.array([len(w) for w in self.words], np.float64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / max(sizes.mean() if n else 1, 1)))
         weight /= np.bincount(item, weight, n)[item]
@@ -123,17 +129,21 @@ class ItemIndex:
             exact = f" {' '.join(own)} " in f" {' '.join(passage)} "
             return (1.0, 1.0) if exact else None
         question, answer = self.parts[item]
-        q = common_subsequence(question, passage) / len(question)
-        a = common_subsequence(answer, passage) / len(answer) if answer else 1.0
-        return (q, a) if q >= OVERLAP and a >= OVERLAP else None
-
-    def search(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
+        if common_subsequence(question, passage) < OVERLAP * len(question) or common_subsequence(answer, passage) < OVERLAP * len(answer):
+            return None
+        size, best = int(SPAN * len(own)) + 1, None
+        for at in range(0, max(1, len(passage) - size + 1) + 1, max(1, len(own) // 8)):
+            span = passage[at : at + size]
+            q = common_subsequence(question, span) / len(question)
+            a = common_subsequence(answer, span) / len(answer) if answer else 1.0
+            if q >= OVERLAP and a >= OVERLAP and (best is None or (q, a) > best):
+                best = q, a
+        return best
+
+    def search_words(self, words: list[str], distinct: set[str], threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage) of each verified item."""
-        if not self.keys:
-            return []
-        words = words_of(text)
         vocab = self.vocab
-        known = np.array([vocab[w] for w in vocab.keys() & set(words)], np.int64)
+        known = np.array([vocab[w] for w in vocab.keys() & distinct], np.int64)
         if not len(known) or not self.retrieve(known, threshold):
             return []
         ids = np.array([vocab.get(w, -1) for w in words], np.int64)
@@ -150,26 +160,48 @@ class ItemIndex:
         return [best[i] for i in sorted(best)]
 
 
+class ItemClasses:
+    """Items by length: class k has those of 2^k to 2^(k+1) - 1 words, word frequencies are of all items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.classes: list[ItemIndex] = []
+        counts, by_size, total = {}, {}, 0
+        for key, text in items:
+            own = words_of(text)
+            if own:
+                total += 1
+                by_size.setdefault(len(own).bit_length(), []).append((key, text))
+                for w in set(own):
+                    counts[w] = counts.get(w, 0) + 1
+        self.classes = [ItemIndex(by_size[k], (counts, total)) for k in sorted(by_size)]
+
+    def search(self, text: str | None, threshold: float = THRESHOLD) -> list[tuple]:
+        """(item_id, score, question overlap, answer overlap, first word of the passage) of each verified item."""
+        words = words_of(text)
+        distinct = set(words)
+        return [(own.keys[hit[0]], *hit[1:]) for own in self.classes for hit in own.search_words(words, distinct, threshold)]
+
+
 _HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("first_word", T.LongType())])
 HITS = T.StructType([T.StructField("hits", T.ArrayType(_HIT, False))])
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterable[ItemIndex]:
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterable[ItemClasses]:
     """Indexes over blocks of items whose texts have at most BLOCK_CHARS characters in expectation."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        yield ItemIndex(sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[1], str(r[0]))))
+        yield ItemClasses(sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[1], str(r[0]))))
 
 
-def _searched(df: DataFrame, index: ItemIndex, text_col: str, threshold: float) -> DataFrame:
+def _searched(df: DataFrame, index: ItemClasses, text_col: str, threshold: float) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def each():
         own = shared.value
-        return lambda texts: [([dict(zip(_HIT.names, (own.keys[h[0]], *h[1:]), strict=True)) for h in own.search(t, threshold)],) for t in texts]
+        return lambda texts: [([dict(zip(_HIT.names, h, strict=True)) for h in own.search(t, threshold)],) for t in texts]
 
     return arrow_map(df, each, text_col, HITS)
 

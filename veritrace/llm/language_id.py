@@ -60,6 +60,11 @@ def _letters() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
+def _has_letter(points: np.ndarray) -> bool:
+    """Whether a code point is a letter; marks alone are none."""
+    return any(unicodedata.category(chr(p))[0] == "L" for p in np.unique(points).tolist() if p != _SPACE)
+
+
 def characters(text: str | None) -> np.ndarray:
     """The code points that models see: one space on either side and between words; empty where no letter is."""
     if not _table:
@@ -69,7 +74,8 @@ def characters(text: str | None) -> np.ndarray:
     points = np.concatenate(([_SPACE], points, [_SPACE])).astype(np.uint32)
     space = points == _SPACE
     points = points[~(space & np.concatenate(([False], space[:-1])))]
-    return points if len(points) > 1 else points[:0]
+    # a text of marks alone has few kinds of characters: only such a one is looked at twice
+    return points if len(points) > 1 and (_has_letter(points[:64]) or _has_letter(points)) else points[:0]
 
 
 def gram_hashes(points: np.ndarray, order: int) -> list[np.ndarray]:
