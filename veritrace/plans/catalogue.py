@@ -29,11 +29,17 @@ def query(sql: str | None = None):
     return keep
 
 
+def _all() -> None:
+    from . import catalogue_flow  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 

@@ -3,7 +3,7 @@ fill in between them comes back as tables, too (sources.results)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,17 @@ class Report:
     lines: DataFrame
 
 
+def handed_over(result, path: str, only: tuple[str, ...] = ()):
+    """A verb's result with its tables (or those named) written below `path` and read again. Verbs are apart in time: what
+    one leaves is read by the next, so no plan holds more than one of them."""
+    read = {}
+    for name, table in vars(result).items():
+        if not only or name in only:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            read[name] = table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
+    return replace(result, **read)
+
+
 def said_by(items: DataFrame) -> DataFrame:
     """items with what they say, ids: the identifiers in it, and text and note where they are null."""
     rows = items.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("note", F.coalesce("note", F.lit("")))

@@ -87,5 +87,7 @@ def read_json_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("file", T.StringType()), T.StructField("pos", T.IntegerType()), *schema.fields]))
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", T.ArrayType(schema)).alias("rows"))
-    return rows.select("file", F.posexplode("rows").alias("pos", "r")).where(F.col("r").isNotNull()).select("file", "pos", "r.*")
+    # element by element: one that is no object leaves the others alone
+    parts = raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", "ARRAY<STRING>")).alias("pos", "one"))
+    rows = parts.where(F.ltrim("one").startswith("{")).select("file", "pos", F.from_json("one", schema).alias("r"))
+    return rows.where(F.col("r").isNotNull()).select("file", "pos", "r.*")
