@@ -35,12 +35,14 @@ RATE = 0.5
 ROUNDS = 60
 KEEP_QUALITY = 0.5
 KEEP_TOXIC = 0.5
-MEMO = 300_000
+MEMO = 200_000
+BEGINNING = 4  # characters of a word that stand for its family
 
 GOOD, BAD, NONE = "1", "0", "-"
 
 # Frequent function words of English, French, German and Spanish; insults by theme.
 FUNCTION_WORDS = frozenset("the of and to in a is that it for was on are with as be at by this from or an not de la le les et des en un une du que est pour dans qui au par der die das und ein eine von zu den mit ist nicht im dem auf für el los las y por con una se no su lo para del al".split())
+ENGLISH = frozenset("the of and to in is that it for was on are with as be at by this from or an not".split())
 MOCKERY = frozenset("idiot idiots moron morons stupid dumb imbecile fool fools".split())
 CONTEMPT = frozenset("trash scum garbage worthless filth vermin pathetic disgusting".split())
 DERISION = frozenset("clown clowns loser losers freak freaks jerk crap bastard".split())
@@ -91,11 +93,13 @@ def votes(text: str | None) -> tuple[str, str]:
     seen = INSULTS.intersection(tokens)
     hits = sum(map(INSULTS.__contains__, tokens)) if seen else 0
     share = hits / max(len(tokens), 1)
+    # the lists are English: that none of their words is there says something of English texts only
+    clean = BAD if not seen and sum(map(ENGLISH.__contains__, tokens)) > 0.08 * len(tokens) else NONE
     toxic = [
-        GOOD if seen & MOCKERY else BAD if not seen else NONE,
-        GOOD if seen & CONTEMPT else BAD if not seen else NONE,
-        GOOD if seen & DERISION else BAD if not seen else NONE,
-        GOOD if len(seen) > 1 or share > 0.01 else BAD if not seen else NONE,
+        GOOD if seen & MOCKERY else clean,
+        GOOD if seen & CONTEMPT else clean,
+        GOOD if seen & DERISION else clean,
+        GOOD if len(seen) > 1 or share > 0.01 else clean,
     ]
     return "".join(quality), "".join(toxic)
 
@@ -109,11 +113,16 @@ class LabelModel:
 
     @classmethod
     def fit(cls, patterns: list[str], counts: list[int], rounds: int = ROUNDS) -> LabelModel:
+        """Expectation-maximisation over vote patterns. The last character of a pattern is what a person said of the text,
+        if one did: that is not estimated but holds."""
+        said = np.array([(BAD + GOOD + NONE).index(p[-1]) for p in patterns])
+        patterns = [p[:-1] for p in patterns]
         codes = np.array([[(BAD + GOOD + NONE).index(v) for v in p] for p in patterns])
         weight = np.array(counts, np.float64)
         shown = np.eye(3)[codes]  # pattern, labeller, vote
         # begin with the majority: it also fixes which class is which
         q = (shown[:, :, 1].sum(axis=1) + 0.5) / (shown[:, :, :2].sum(axis=(1, 2)) + 1)
+        q = np.where(said < 2, said, q)
         model = cls(0.5, np.zeros((2, codes.shape[1], 3)))
         for _ in range(rounds):
             table = []
@@ -123,23 +132,28 @@ class LabelModel:
                 mass[:, 2] = 1  # who abstains says nothing
                 table.append(mass)
             model = cls(float(np.clip((weight * q).sum() / weight.sum(), 1e-4, 1 - 1e-4)), np.stack(table))
-            new = model.posterior(patterns)
+            new = np.where(said < 2, said, model._posterior(patterns))
             if np.abs(new - q).max() < 1e-6:
                 break
             q = new
         return model
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
+        """The probability of the class 1 for each pattern; what a person said settles it."""
+        own = self._posterior([p[:-1] for p in patterns])
+        return np.array([float(p[-1]) if p[-1] != NONE else x for p, x in zip(patterns, own.tolist(), strict=True)])
+
+    def _posterior(self, patterns: list[str]) -> np.ndarray:
         codes = np.array([[(BAD + GOOD + NONE).index(v) for v in p] for p in patterns])
         logs = np.log(self.table)[:, np.arange(codes.shape[1]), codes].sum(axis=2) + np.log([[1 - self.prior], [self.prior]])
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-_memo: dict[str, tuple[int, int]] = {}
+_memo: dict[str, tuple[int, int, int]] = {}
 
 
-def _places(word: str) -> tuple[int, int]:
-    """Buckets of a word in lower case and of its shape (kinds of characters, runs shortened)."""
+def _places(word: str) -> tuple[int, int, int]:
+    """Buckets of a word in lower case, of its shape (kinds of characters, runs shortened) and of its beginning."""
     known = _memo.get(word)
     if known is None:
         core = word.strip(_ENDS)
@@ -148,7 +162,8 @@ def _places(word: str) -> tuple[int, int]:
         else:
             shape = re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]))
             core = "".join(_WORD.findall(word)) or word
-        known = xxhash.xxh32_intdigest(core.lower(), 1) % BUCKETS, xxhash.xxh32_intdigest(shape, 2) % BUCKETS
+        low = core.lower()
+        known = xxhash.xxh32_intdigest(low, 1) % BUCKETS, xxhash.xxh32_intdigest(shape, 2) % BUCKETS, xxhash.xxh32_intdigest(low[:BEGINNING], 3) % BUCKETS
         if len(_memo) >= MEMO:
             _memo.clear()
         _memo[word] = known
@@ -157,7 +172,7 @@ def _places(word: str) -> tuple[int, int]:
 
 def features(text: str | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Buckets and values by scorer. Quality: words and shapes by the root of their share, and how many words repeat the
-    one before. Toxicity: which words are there, since one is enough in however long a text."""
+    one before. Toxicity: which words and families of words are there, since one is enough in however long a text."""
     words = (text or "").split()
     if not words:
         return {"quality": (np.zeros(1, np.int64), np.ones(1, np.float32)), "toxic": (np.zeros(1, np.int64), np.ones(1, np.float32))}
@@ -167,7 +182,7 @@ def features(text: str | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     repeat = sum(map(eq, words, words[1:])) / len(words)
     shapes, which = np.unique(places[:, 1], return_inverse=True)
     kinds = np.sqrt(np.bincount(which, share**2)).astype(np.float32)
-    own = np.unique(places[:, 0])
+    own = np.unique(places[:, [0, 2]])
     at = np.concatenate((places[:, 0], shapes, [0, 1]))
     return {
         "quality": (at, np.concatenate((share, kinds, [1.0, 4 * repeat])).astype(np.float32)),
@@ -220,7 +235,8 @@ def _fit(sample: DataFrame, posteriors: dict[str, dict[str, float]]) -> dict[str
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["name"].iloc[0]
-        pdf = pdf.sort_values(["text"], na_position="first")
+        judged = pdf[pdf["pattern"].str.strip(NONE) != ""]  # of the rest nothing is known
+        pdf = judged if len(judged) else pdf.sort_values(["text"], na_position="first")
         labels = np.array([posteriors[name][p] for p in pdf["pattern"]])
         return pd.DataFrame({"name": [name], "weights": [fit_scorer(name, list(pdf["text"]), labels).astype("<f4").tobytes()]})
 
@@ -228,19 +244,38 @@ def _fit(sample: DataFrame, posteriors: dict[str, dict[str, float]]) -> dict[str
     return {r["name"]: np.frombuffer(bytes(r["weights"]), "<f4") for r in both.groupBy("name").applyInPandas(fit, _WEIGHTS).collect()}
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, quality_score, toxic_score, keep: one row a text."""
+def _said(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with said_quality and said_toxic: what a person said of them, 1 or 0, or - where nobody did."""
+    if labels is None:
+        return rows.select("*", F.lit(NONE).alias("said_quality"), F.lit(NONE).alias("said_toxic"))
+    one = lambda c: F.when(F.min(c) == F.max(c), F.max(c).cast("int").cast("string")).alias(f"said_{c}")  # noqa: E731  people who differ say nothing
+    by_id = labels.groupBy(F.col("doc_id").alias("label_id")).agg(one("quality"), one("toxic"))
+    joined = rows.join(by_id, F.col("doc_id") == F.col("label_id"), "left").drop("label_id")
+    return joined.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("said_quality", "said_toxic")})
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id, quality_score, toxic_score, keep: one row a text.
+
+    labels (doc_id, quality, toxic) is what people said of some of the texts, if there is any: in the label model it holds
+    as it is and the heuristic labellers are measured against it. The scorers are fitted on sample_docs texts with and
+    as many without it in expectation; ids and labels are no inputs of a score.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     draw = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("weak")), F.lit(1_000_000_000))
     judge = lambda texts: [votes(t) for t in texts]
-    voted = materialize(arrow_map(rows.select(draw.alias("draw"), "text"), lambda: judge, "text", VOTES), "votes")
+    # labels join digests of the texts' votes, not the texts
+    voted = _said(arrow_map(rows.select("doc_id", draw.alias("draw"), "text"), lambda: judge, "text", VOTES), labels)
+    voted = materialize(voted.select("doc_id", "draw", *[F.concat(f"{n}_votes", f"said_{n}").alias(f"{n}_votes") for n in ("quality", "toxic")]), "votes")
     models = {name: _label_model(voted, f"{name}_votes") for name in ("quality", "toxic")}
-    total = voted.count()
+    said = F.col("quality_votes").substr(-1, 1) != NONE
+    total, labelled = voted.agg(F.count("*"), F.count_if(said)).first()
     if not total:
         return rows.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in SCORES.names], F.lit(False).alias("keep"))
     posteriors = {name: m[1] for name, m in models.items()}
-    limit = int(min(1.0, sample_docs / total) * 1_000_000_000)
-    sample = arrow_map(rows.where(draw < limit).withColumn("read", F.col("text")), lambda: judge, "read", VOTES)
+    limit = lambda n: int(min(1.0, sample_docs / max(n, 1)) * 1_000_000_000)
+    chosen = voted.where(F.when(said, F.col("draw") < limit(labelled)).otherwise(F.col("draw") < limit(total - labelled))).select("doc_id", "draw", "quality_votes", "toxic_votes").distinct()
+    sample = rows.withColumn("draw", draw).join(chosen, ["doc_id", "draw"]).select("text", "quality_votes", "toxic_votes")
     weights = _fit(sample.dropDuplicates(["text"]), posteriors)
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
