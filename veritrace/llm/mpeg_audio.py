@@ -5,7 +5,9 @@ which a header is followed by a second one of the same kind (or by the end of th
 write_stream() stores any bytes losslessly in the ancillary part of Layer III frames, which decoders skip.
 
 Defined results: null or empty data has no frames and duration 0; a frame cut off by the end of the data is counted as
-truncated and adds nothing to the duration; a checksum is verified for Layer III, counted as unchecked for I and II.
+truncated and adds nothing to the duration; a checksum is verified for Layers I and III, counted as unchecked for II,
+whose protected length depends on how bits were dealt to subbands. Tags of ID3v2.2 to 2.4 are read with extended
+headers and unsynchronisation, ID3v1 fills in what they leave out; the first of two equal fields holds.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ KBITS = {
 }
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
-MONO = 3
+JOINT, MONO = 1, 3
 UNIT = 64  # payloads are padded to a multiple of so many bytes
 
 
@@ -46,6 +48,7 @@ class Header:
     size: int
     samples: int
     side: int
+    protected: int  # bytes after the checksum that it covers, -1 where the header alone does not tell
 
 
 @lru_cache(maxsize=4096)
@@ -65,7 +68,9 @@ def parse_header(head: bytes) -> Header | None:
         samples = 1152 if layer == 2 or first else 576
         size = samples // 8 * 1000 * kbits // hertz + pad
     side = 0 if layer != 3 else (17 if mono else 32) if first else (9 if mono else 17)
-    return Header(version, layer, not head[1] & 1, kbits, hertz, size, samples, side)
+    bound = 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == JOINT else 32
+    protected = side if layer == 3 else -1 if layer == 2 else 16 if mono else 16 + bound // 2
+    return Header(version, layer, not head[1] & 1, kbits, hertz, size, samples, side, protected)
 
 
 def _crc_table() -> list[int]:
@@ -100,7 +105,7 @@ class Stream:
     vbr: str = "none"
     vbr_frames: int = -1
     vbr_bytes: int = -1
-    toc: bytes = b""
+    table_offsets: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     samples: int = 0
     micros: int = 0
@@ -120,41 +125,84 @@ class Stream:
         return b"".join(self.bodies)[: int(self.tags.get("payload_bytes", 0))]
 
 
+# Fixed values of the format: text fields of ID3v2.2 by their later names; encodings of text by their first byte.
+OLD_NAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "TCO": "TCON", "TXX": "TXXX"}
+CODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+
+
+def _synchronised(raw: bytes) -> bytes:
+    """Without the zero bytes that keep a tag from looking like a frame."""
+    return raw.replace(b"\xff\x00", b"\xff")
+
+
+def _tag_frames(body: bytes, major: int, flags: int):
+    """(name, content) of the frames of one ID3v2 tag."""
+    if flags & 0x80 and major < 4:
+        body = _synchronised(body)
+    at, width = 0, 3 if major == 2 else 4
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        at = _syncsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4])
+    head = 6 if major == 2 else 10
+    while at + head <= len(body) and body[at] != 0:
+        name, raw = body[at : at + width].decode("latin-1"), body[at + width : at + 2 * width]
+        n = _syncsafe(raw) if major == 4 else int.from_bytes(raw)
+        content = body[at + head : at + head + n]
+        if major == 4:
+            own = body[at + 9]
+            content = content[4:] if own & 1 else content
+            content = _synchronised(content) if own & 2 or flags & 0x80 else content
+        yield OLD_NAMES.get(name, name), content
+        at += head + n
+
+
 def _read_tags(data: bytes, at: int, tags: dict[str, str]) -> int:
     """Past the ID3v2 tags at `at`; their text frames go to tags."""
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
-        end, i = min(at + 10 + size, len(data)), at + 10
-        while major in (3, 4) and i + 10 <= end and data[i] != 0:
-            name = data[i : i + 4].decode("latin-1")
-            n = _syncsafe(data[i + 4 : i + 8]) if major == 4 else int.from_bytes(data[i + 4 : i + 8])
-            body = data[i + 10 : min(i + 10 + n, end)]
+        for name, body in _tag_frames(data[at + 10 : at + 10 + size], major, flags) if major in (2, 3, 4) else ():
             if name[0] == "T" and body:
-                coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-                text = body[1:].decode(coding, "replace")
+                text = body[1:].decode(CODINGS.get(body[0], "latin-1"), "replace")
                 if name == "TXXX":
                     name, _, text = text.partition("\0")
+                    text = text.lstrip("\ufeff")
                 tags.setdefault(name, text.strip("\0"))
-            i += 10 + n
         at = min(at + 10 + size + (10 if flags & 0x10 else 0), len(data))
     return at
 
 
-def _read_vbr(frame: bytes, h: Header, out: Stream) -> bool:
-    """Whether the frame is a Xing, Info or VBRI table rather than sound."""
-    at = 4 + 2 * h.checked + h.side
-    mark = frame[at : at + 4]
+def _read_last_tag(raw: bytes, tags: dict[str, str]) -> None:
+    """The 128 bytes of an ID3v1 tag."""
+    said = lambda a, b: raw[a:b].split(b"\0")[0].decode("latin-1").rstrip()
+    found = {"TIT2": said(3, 33), "TPE1": said(33, 63), "TALB": said(63, 93), "TYER": said(93, 97), "COMM": said(97, 127), "TCON": f"({raw[127]})" if raw[127] < 255 else ""}
+    if raw[125] == 0 and raw[126]:
+        found["TRCK"] = str(raw[126])
+    for name, text in found.items():
+        if text:
+            tags.setdefault(name, text)
+
+
+def _read_vbr(frame: bytes, h: Header, at: int, out: Stream) -> bool:
+    """Whether the frame at place `at` is a Xing, Info or VBRI table rather than sound. Its seek points become places in
+    the data."""
+    i = 4 + 2 * h.checked + h.side
+    mark = frame[i : i + 4]
     if mark in (b"Xing", b"Info"):
-        flags, at, out.vbr = int.from_bytes(frame[at + 4 : at + 8]), at + 8, mark.decode()
+        flags, i, out.vbr = int.from_bytes(frame[i + 4 : i + 8]), i + 8, mark.decode()
         if flags & 1:
-            out.vbr_frames, at = int.from_bytes(frame[at : at + 4]), at + 4
+            out.vbr_frames, i = int.from_bytes(frame[i : i + 4]), i + 4
         if flags & 2:
-            out.vbr_bytes, at = int.from_bytes(frame[at : at + 4]), at + 4
-        if flags & 4:
-            out.toc = frame[at : at + 100]
+            out.vbr_bytes, i = int.from_bytes(frame[i : i + 4]), i + 4
+        if flags & 4 and out.vbr_bytes >= 0:
+            out.table_offsets = [at + h.size + mark * out.vbr_bytes // 256 for mark in frame[i : i + 100]]
         return True
     if frame[36:40] == b"VBRI":
-        out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", int.from_bytes(frame[46:50]), int.from_bytes(frame[50:54])
+        number = lambda a, n: int.from_bytes(frame[a : a + n])
+        out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", number(46, 4), number(50, 4)
+        entries, scale, width = number(54, 2), number(56, 2), number(58, 2)
+        place = at + h.size
+        for k in range(min(entries, max(0, len(frame) - 62) // max(width, 1))):
+            out.table_offsets.append(place)
+            place += number(62 + k * width, width) * scale
         return True
     return False
 
@@ -166,14 +214,14 @@ def read_stream(data: bytes | None) -> Stream:
     at, end = _read_tags(data, 0, out.tags), len(data)
     if end - at >= 128 and data[-128:-125] == b"TAG":
         end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
+        _read_last_tag(data[end:], out.tags)
     kind, first, lost = None, True, False
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
         good = h is not None and kind in (None, (h.version, h.layer, h.hertz))
         if good and not _followed(data, at, h, end):
             # what follows is damaged: the frame counts if it stands in line and its checksum is right
-            good = kind is not None and not lost and (_sound(data, at, h) if h.checked and h.layer == 3 else not out.good)
+            good = kind is not None and not lost and (_sound(data, at, h) if h.checked and h.protected >= 0 else not out.good)
         if not good:
             if not lost:
                 lost, out.resyncs = True, out.resyncs + 1
@@ -189,9 +237,9 @@ def read_stream(data: bytes | None) -> Stream:
         kind = (h.version, h.layer, h.hertz)
         frame = data[at : at + h.size]
         out.hertz = h.hertz
-        if not (first and _read_vbr(frame, h, out)):
+        if not (first and _read_vbr(frame, h, at, out)):
             body = 4 + 2 * h.checked + h.side
-            if h.checked and h.layer == 3:
+            if h.checked and h.protected >= 0:
                 right = _sound(frame, 0, h)
                 out.good, out.bad = out.good + right, out.bad + (not right)
             else:
@@ -208,8 +256,8 @@ def read_stream(data: bytes | None) -> Stream:
 
 
 def _sound(data: bytes, at: int, h: Header) -> bool:
-    """Whether the checksum of a Layer III frame is right."""
-    return frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6])
+    """Whether the checksum of a frame is right."""
+    return frame_crc(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.protected]) == int.from_bytes(data[at + 4 : at + 6])
 
 
 def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
@@ -264,12 +312,12 @@ def padded(raw: bytes) -> bytes:
 FEATURES = T.StructType([
     T.StructField("n_frames", T.LongType()), T.StructField("duration_samples", T.LongType()), T.StructField("duration_us", T.LongType()), T.StructField("sample_rate", T.IntegerType()),
     T.StructField("vbr", T.StringType()), T.StructField("crc_good", T.LongType()), T.StructField("crc_bad", T.LongType()), T.StructField("junk_bytes", T.LongType()),
-    T.StructField("seek_offsets", T.ArrayType(T.LongType(), False)),
+    T.StructField("seek_offsets", T.ArrayType(T.LongType(), False)), T.StructField("table_offsets", T.ArrayType(T.LongType(), False)),
 ])
 
 
 def _facts(s: Stream) -> tuple:
-    return len(s.offsets), s.samples, s.micros, s.hertz, s.vbr, s.good, s.bad, s.junk, s.offsets
+    return len(s.offsets), s.samples, s.micros, s.hertz, s.vbr, s.good, s.bad, s.junk, s.offsets, s.table_offsets
 
 
 def mpeg_columns(df: DataFrame, data_col: str = "data") -> DataFrame:
