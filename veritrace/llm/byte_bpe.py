@@ -203,8 +203,9 @@ def decode_column(df: DataFrame, ids_col: str = "ids", path: str | None = None)
     return arrow_map(df, lambda: lambda values, t=tokenizer(path): [(t.decode_bytes(array("I", v or []).tobytes()),) for v in values], ids_col, DECODED)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Each whole text encoded and decoded again: doc_id and the columns of DIGESTS. One narrow pass."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each whole text encoded and decoded again: doc_id, the columns of DIGESTS and those to `keep`. One narrow pass. A
+    null text is the empty one; rows may repeat, and their ids may be null."""
     path = path or default_path()
 
     def each():
@@ -219,4 +220,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return work
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), each, "text", DIGESTS, size=64)
+    kept = [F.col(f"`{c}`") for c in keep if c not in ("doc_id", *DIGESTS.names)]
+    read = "_" + max((*keep, "read"), key=len)  # longer than any other name
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), *kept, F.col(text_col).alias(read)), each, read, DIGESTS, size=64)

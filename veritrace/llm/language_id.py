@@ -185,7 +185,7 @@ class Identifier:
         self.limits = np.array([limits.get(x, np.inf) for x in self.langs])
         self.floor = np.float32(np.log2(1 / ALPHABET))
         self.grams, self.logp, self.contexts, self.mass = [], [], [], []
-        for n in range(order):
+        for n in range(order if models else 0):
             level = [dict(zip(LEVEL, models[x][n], strict=True)) for x in self.langs]
             keys, first = np.unique(np.concatenate([a["keys"] for a in level]), return_index=True)
             prefix, suffix = (np.concatenate([a[c] for a in level])[first] for c in ("prefix", "suffix"))
