@@ -519,7 +519,7 @@ def verify_packs(spark, d):
     items, code, files, merged = _merged_story(spark, d)
     out = verbs.verify(items, merged, code, files)
     own = out.windows.join(items.select("item_id", F.regexp_extract("group", r"(\d+)", 1).cast("int").alias("n")), "item_id").where(F.col("file") == F.format_string("src/Order%dService.java", "n"))
-    packed = out.claims.join(out.packs, "batch").select("item_id", F.col("text").contains(F.concat(F.lit("### "), F.col("item_id"))).alias("own_class"))
+    packed = out.claims.select("item_id", "batch").join(out.packs, "batch").select("item_id", F.col("text").contains(F.concat(F.lit("### "), F.col("item_id"))).alias("own_class"))
     return own.join(packed, "item_id").select("item_id", "file", "own_class").distinct()
 
 
@@ -539,9 +539,7 @@ def report_sections(spark, d):
 @query("SELECT path, 'Order' || k || 'Service' AS owner, 'save' || k AS handler FROM (SELECT n_nationkey AS k, '/orders' || n_nationkey || '/save' AS path FROM nation) WHERE k % 2 = 1 AND k % 10 <> 1")
 def report_extras(spark, d):
     """Endpoints that no item mentions: odd ones, unless a text names their handler."""
-    items, code, files, _ = _story(spark, d)
+    items, code, _, _ = _story(spark, d)
     even = items.where("item_ord % 5 = 1").withColumn("n", ((F.col("item_ord") - 1) / 5).cast("int"))
     said = even.withColumn("assertion", F.when(F.col("n") % 2 == 0, F.col("assertion")).when(F.col("n") % 10 == 1, F.concat(F.lit("call save"), F.col("n").cast("string"))).otherwise("none")).drop("n")
-    none = said.select("item_id", F.lit("script").alias("checked_by"), F.lit("static").alias("route"), F.lit("missing").alias("verdict"), F.lit(False).alias("has_evidence"), F.array().cast(S.EVIDENCE).alias("evidence"))
-    out = verbs.report(said, none, spark.createDataFrame([], S.schema(S.RECHECKS)), spark.createDataFrame([], S.schema(S.WINDOWS)), code, files)
-    return out.extras.select("path", "owner", "handler")
+    return verbs.unasked(said, code).select("path", "owner", "handler")

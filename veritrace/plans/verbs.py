@@ -141,13 +141,18 @@ def verify(items: DataFrame, merged: DataFrame, symbols: DataFrame, files: DataF
     return Verification(merged, batched, texts, windows, packs.blank_seconds(batched))
 
 
+def unasked(items: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Endpoints that no item mentions, by its words, its text's or its source's name."""
+    said = items.select(F.concat_ws("\n", "assertion", "text", "source.file").alias("said"))
+    urls = symbols.where("family = 'urls'").select(X.key_path(F.col("name")).alias("path"), F.col("sym_ord").alias("url_ord"), X.key_verb(F.col("name")).alias("http"), "file", "line", "handler", "owner")
+    return coverage.extra_paths(urls, coverage.mention_words(said, "said"), coverage.mention_paths(said, "said"))
+
+
 def report(items: DataFrame, merged: DataFrame, rechecks: DataFrame, windows: DataFrame, symbols: DataFrame, files: DataFrame, config: EngineConfig = EngineConfig()) -> Report:
     """Records with their placement, endpoints nobody asked for, and both reports' lines. rechecks: RECHECKS, a row an
     item; windows: WINDOWS."""
     seconds = verdict.effective_seconds(rechecks, files, windows)
     decided = verdict.apply_rechecks(merged, seconds)
     records = decided.withColumn("placement", verdict.placement(F.col("verdict"), F.col("checked_by"), F.col("has_evidence"), F.col("forced_placement"), config))
-    said = items.select(F.concat_ws("\n", "assertion", "text", "source.file").alias("said"))
-    urls = symbols.where("family = 'urls'").select(X.key_path(F.col("name")).alias("path"), F.col("sym_ord").alias("url_ord"), X.key_verb(F.col("name")).alias("http"), "file", "line", "handler", "owner")
-    extras = coverage.extra_paths(urls, coverage.mention_words(said, "said"), coverage.mention_paths(said, "said"))
+    extras = unasked(items, symbols)
     return Report(records, extras, render.reports(records, extras, files, config.sample_size, config.seed))
