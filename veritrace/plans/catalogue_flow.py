@@ -481,7 +481,7 @@ def _story(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 
 def _compared(spark: SparkSession, items: DataFrame, code: DataFrame, files: DataFrame) -> verbs.Comparison:
-    return verbs.handed_over(verbs.compare(items, code, files, ["src"]), scratch_path(spark, "compare"), ("static", "checked", "evidence"))
+    return verbs.compare(items, code, files, ["src"], kept=verbs.kept_below(scratch_path(spark, "compare")))
 
 
 def _merged_story(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -508,7 +508,7 @@ def end_to_end(spark, d):
 def compare_packs(spark, d):
     """A pack for each group's items that a reviewer must judge, with code, and a blank that fits it."""
     items, code, files, _ = _story(spark, d)
-    out = verbs.compare(items, code, files, ["src"])
+    out = _compared(spark, items, code, files)
     blanks = out.blanks.select("batch", F.size(F.from_json("json", f"ARRAY<STRUCT<item_id:STRING,verdict:STRING,evidence:{S.EVIDENCE}>>")).cast("bigint").alias("n_items"))
     return out.packs.join(blanks, "batch").select("name", "n_items", F.col("text").contains("## Code").alias("shows_code"))
 
@@ -517,7 +517,7 @@ def compare_packs(spark, d):
 def verify_packs(spark, d):
     """Windows of the claims that a second review gets, each with its own class."""
     items, code, files, merged = _merged_story(spark, d)
-    out = verbs.verify(items, merged, code, files)
+    out = verbs.verify(items, merged, code, files, kept=verbs.kept_below(scratch_path(spark, "verify")))
     own = out.windows.join(items.select("item_id", F.regexp_extract("group", r"(\d+)", 1).cast("int").alias("n")), "item_id").where(F.col("file") == F.format_string("src/Order%dService.java", "n"))
     packed = out.claims.select("item_id", "batch").join(out.packs, "batch").select("item_id", F.col("text").contains(F.concat(F.lit("### "), F.col("item_id"))).alias("own_class"))
     return own.join(packed, "item_id").select("item_id", "file", "own_class").distinct()

@@ -3,7 +3,8 @@ fill in between them comes back as tables, too (sources.results)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,19 @@ class Report:
     lines: DataFrame
 
 
-def handed_over(result, path: str, only: tuple[str, ...] = ()):
-    """A verb's result with its tables (or those named) written below `path` and read again. Verbs are apart in time: what
-    one leaves is read by the next, so no plan holds more than one of them."""
-    read = {}
-    for name, table in vars(result).items():
-        if not only or name in only:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-            read[name] = table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
-    return replace(result, **read)
+def as_planned(table: DataFrame, name: str) -> DataFrame:
+    """Leaves a table that is read several times to the plan."""
+    return table
+
+
+def kept_below(path: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes each table that is read several times below `path`: it is computed once, and plans stay small."""
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
+
+    return keep
 
 
 def said_by(items: DataFrame) -> DataFrame:
@@ -86,16 +91,17 @@ def recalled(batched: DataFrame, anchors: DataFrame, symbols: DataFrame, files:
     return shown.select("batch", F.col("file_rank").alias("snippet_ord"), "file", start.cast("int").alias("start"), (start + F.size(F.split("code", "\n")) - 1).cast("int").alias("end"), "code")
 
 
-def compare(items: DataFrame, symbols: DataFrame, files: DataFrame, scope: list[str], config: EngineConfig = EngineConfig()) -> Comparison:
+def compare(items: DataFrame, symbols: DataFrame, files: DataFrame, scope: list[str], config: EngineConfig = EngineConfig(), kept: Callable[[DataFrame, str], DataFrame] = as_planned) -> Comparison:
     """What code says of each item by itself, and packs for what a reviewer must judge. items: ITEMS with item_id;
-    symbols: numbered; files: file, text."""
+    symbols: numbered; files: file, text. kept: what becomes of tables that are read several times."""
     said = said_by(items)
     every = lookup.checks(said)
-    checked = lookup.nearest_on_miss(lookup.run_checks(every, symbols), symbols)
-    static = lookup.static_verdicts(said, checked)
+    run = kept(lookup.run_checks(every, symbols), "hits")
+    checked = kept(lookup.nearest_on_miss(run, symbols), "checked")
+    static = kept(lookup.static_verdicts(said, run), "static")
     n_files = files.agg(F.count("*").alias("n_files"))
     log = lookup.search_log(said.join(F.broadcast(n_files)), scope, F.col("n_files"))
-    batched = packs.verdict_batches(said, static, config)
+    batched = kept(packs.verdict_batches(said, static, config), "batches")
     sites = lookup.hit_sites(every, symbols).join(batched.select("item_id", "item_ord", "batch"), "item_id")
     order = F.struct("item_ord", "check_ord", F.lit(0).alias("step"), "sym_ord")
     anchors = sites.select("batch", "file", "line", order.alias("anchor_ord"))
@@ -126,15 +132,15 @@ def merge(items: DataFrame, comparison: Comparison, verdicts: DataFrame, files:
     return rows.withColumn("has_evidence", F.size("evidence") > 0).drop("s_evidence", "x_evidence", "s_reason", "x_reason")
 
 
-def verify(items: DataFrame, merged: DataFrame, symbols: DataFrame, files: DataFrame, config: EngineConfig = EngineConfig()) -> Verification:
-    """Claims that a second review is worth, with the code they may be quoted from."""
+def verify(items: DataFrame, merged: DataFrame, symbols: DataFrame, files: DataFrame, config: EngineConfig = EngineConfig(), kept: Callable[[DataFrame, str], DataFrame] = as_planned) -> Verification:
+    """Claims that a second review is worth, with the code they may be quoted from. kept: as in compare()."""
     claims = verdict.enrich_claims(verdict.select_claims(merged).drop("text", "note"), items)
-    batched = packs.recheck_batches(claims, config)
-    own = packs.method_windows(claims, symbols.where("family = 'methods'"), files, config)
+    batched = kept(packs.recheck_batches(claims, config), "claims")
+    own = kept(packs.method_windows(batched, symbols.where("family = 'methods'"), files, config), "own-windows")
     first = batched.select("batch", "item_ord", F.posexplode("evidence").alias("ev_ord", "e"))
     order = F.struct("item_ord", F.col("ev_ord").alias("check_ord"), F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("sym_ord"))
     anchors = first.select("batch", F.col("e.file").alias("file"), F.expr("try_cast(e.line AS INT)").alias("line"), order.alias("anchor_ord")).where("file IS NOT NULL AND line IS NOT NULL")
-    found = recalled(batched, anchors, symbols, files)
+    found = kept(recalled(batched, anchors, symbols, files), "recalled")
     shown = batched.select("batch", "item_id").join(own, "item_id").select("batch", "file", "start", "end")
     shared = found.join(shown, ["batch", "file", "start", "end"], "left_anti").dropDuplicates(["batch", "file", "start", "end"])
     texts, windows = packs.recheck_packs(batched, own, shared, config)
