@@ -16,7 +16,8 @@ from ..sources.scratch import put_text, scratch_path
 from . import verbs
 from .catalogue import big, query, table
 
-NONE = F.lit(None).cast("string")
+def _none():
+    return F.lit(None).cast("string")
 
 
 def _put(spark: SparkSession, label: str, texts: dict[str, str]) -> str:
@@ -277,7 +278,7 @@ def block_listing(spark, d):
 
 def _supplier_code(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(F.lit("types").alias("family"), k.alias("sym_ord"), F.concat(F.lit("K"), (k % 45).cast("string"), F.lit("Service")).alias("name"), F.concat(F.lit("f"), (k % 9).cast("string")).alias("file"), (k % 3).cast("int").alias("line"), F.lit("o").alias("owner"), NONE.alias("handler"))
+    return table(spark, d, "supplier").select(F.lit("types").alias("family"), k.alias("sym_ord"), F.concat(F.lit("K"), (k % 45).cast("string"), F.lit("Service")).alias("name"), F.concat(F.lit("f"), (k % 9).cast("string")).alias("file"), (k % 3).cast("int").alias("line"), F.lit("o").alias("owner"), _none().alias("handler"))
 
 
 def _part_items(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +438,7 @@ def recheck_evidence(spark, d):
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'f' || p_size || ':' || (p_size % 9) END AS position, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS quote, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand || ' g:' || p_size END AS nearest FROM part""")
 def first_of_lists(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size").cast("int")
-    evidence = F.array(F.struct(F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("quote")), F.struct(F.when(k % 3 == 0, NONE).otherwise(F.concat(F.lit("f"), size.cast("string"))).alias("file"), (size % 9).alias("line"), F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("quote")))
+    evidence = F.array(F.struct(F.lit("").alias("file"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("quote")), F.struct(F.when(k % 3 == 0, _none()).otherwise(F.concat(F.lit("f"), size.cast("string"))).alias("file"), (size % 9).alias("line"), F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("quote")))
     nearest = F.when(k % 5 == 0, F.array().cast("array<struct<name:string,file:string,line:int>>")).otherwise(F.array(F.struct(F.col("p_brand").alias("name"), F.lit("g").alias("file"), size.alias("line"))))
     rows = table(spark, d, "part").select("p_partkey", evidence.alias("e"), nearest.alias("n"))
     return rows.select("p_partkey", render.first_position(F.col("e")).alias("position"), render.first_quote(F.col("e")).alias("quote"), render.first_nearest(F.col("n")).alias("nearest"))
@@ -472,7 +473,7 @@ def _story(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     made = F.array(item(1, "existence", "POST /orders{n}/save is there"), item(2, "existence", "Lost{n}Service is there"), item(3, "behavior", "orders {n} are saved"), item(4, "behavior", "orders {n} are checked"), item(5, "behavior", "orders {n} are sent"))
     rows = table(spark, d, "nation").select("n_nationkey", F.inline(made))
     order = big(n * 5 + F.col("i"))
-    items = rows.select(F.format_string("R-%03d", order).alias("item_id"), order.alias("item_ord"), F.format_string("g%02d", n).alias("group"), "kind", "assertion", F.struct(F.lit("prd.md").alias("file"), F.lit(1).alias("line")).alias("source"), F.lit("").alias("text"), NONE.alias("note"))
+    items = rows.select(F.format_string("R-%03d", order).alias("item_id"), order.alias("item_ord"), F.format_string("g%02d", n).alias("group"), "kind", "assertion", F.struct(F.lit("prd.md").alias("file"), F.lit(1).alias("line")).alias("source"), F.lit("").alias("text"), _none().alias("note"))
     quote = F.when(F.col("i") == 3, F.concat(F.lit("public class Order"), n.cast("string"), F.lit("Service {"))).otherwise("no such line")
     evidence = F.array(F.struct(F.format_string("src/Order%dService.java", n).alias("file"), F.lit("3").alias("line"), quote.alias("quote")))
     verdicts = rows.where("i IN (3, 4)").select(F.format_string("R-%03d", order).alias("item_id"), F.lit("implemented").alias("verdict"), evidence.alias("evidence"), F.lit("seen").alias("reason"), F.array().cast("array<string>").alias("missing"))
