@@ -14,9 +14,9 @@ Defined results: null text is the empty text; texts without a word have fingerpr
 others; rows may repeat; ids may be null (a component's id is its smallest id that is not null).
 
 keep_similar() is the corpus stage: texts are near copies where the Jaccard similarity of their five-word shingles is at
-least 0.8. SimHashes of such pairs differ in ten bits and more, so that no byte need be equal and a count filter would
-guarantee nothing; candidates there share a MinHash band (at 0.8 all but 5 pairs in 100,000 do) and are verified by the
-true similarity.
+least 0.8. The SimHashes of these shingles go through the same index, and texts that it connects are candidates. Pairs
+near 0.8 differ in ten bits and more, so that no byte need be equal and a count filter guarantees nothing; texts that
+share a MinHash band (at 0.8 all but 5 pairs in 100,000 do) are candidates, too. All are verified by the true similarity.
 """
 
 from __future__ import annotations
@@ -67,7 +67,11 @@ def shingle_hashes(raw: bytes | None, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
     """Majority bits of the hashes of all word shingles, as a signed 64-bit integer."""
-    hashes = shingle_hashes(raw, shingle)
+    return majority(shingle_hashes(raw, shingle))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that over half the hashes have, as a signed 64-bit integer; zero if there are none."""
     if not hashes:
         return 0
     counts = np.zeros(64, np.int64)
@@ -167,13 +171,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bi
     return unpacked(kept.dropDuplicates(["own_id", "fp"]))
 
 
-_BANDS = T.StructType([T.StructField("bands", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
-def text_bands(texts: list, shingle: int = STAGE_SHINGLE) -> np.ndarray:
-    """Band keys of the shingles of each text; texts without a word share theirs."""
-    sets = [shingle_hashes(t, shingle) or [0] for t in texts]
-    return band_keys(np.array([h for s in sets for h in s], np.uint64), np.array([len(s) for s in sets], np.int64), BANDS, ROWS)
+def text_sketches(texts: list, shingle: int = STAGE_SHINGLE) -> list[tuple[int, list[int]]]:
+    """SimHash and band keys of the shingles of each text; texts without a word share theirs."""
+    sets = [shingle_hashes(t, shingle) for t in texts]
+    bands = band_keys(np.array([h for s in sets for h in s or [0]], np.uint64), np.array([len(s or [0]) for s in sets], np.int64), BANDS, ROWS)
+    return list(zip(map(majority, sets), bands.tolist(), strict=True))
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -205,9 +210,12 @@ def _similar(shingle: int, least: float):
     return run
 
 
-def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(text_key, root) of the texts that have a near copy. sketches: text_key, bands; texts: text_key, text."""
-    keys = sketches.select(F.col("text_key").alias("node"), F.explode("bands").alias("key")).distinct()
+def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, least: float, bits: int = BITS) -> DataFrame:
+    """(text_key, root) of the texts that have a near copy. sketches: text_key, fp, bands; texts: text_key, text."""
+    # texts whose SimHashes the index connects are one more list, however far a chain of links goes
+    near_fps = components(links(sketches.select("fp").distinct(), bits)).select(F.col("node").alias("fp"), "root")
+    rooted = sketches.select("text_key", "fp").join(near_fps, "fp", "left").select(F.col("text_key").alias("node"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    keys = sketches.select(F.col("text_key").alias("node"), F.explode("bands").alias("key")).union(rooted).distinct()
     lists = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").cast("int").alias("n")).where("n > 1")
     members = materialize(keys.join(lists, "key").withColumn("near", F.col("node") != F.col("first")), "near-members")
     wanted = members.select(F.col("node").alias("text_key")).distinct()
@@ -231,7 +239,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with its own columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    sketches = materialize(arrow_map(texts, lambda: lambda values: [(b,) for b in text_bands(values, shingle).tolist()], "text", _BANDS, binary=True, size=64), "sketches")
+    sketches = materialize(arrow_map(texts, lambda: lambda values: text_sketches(values, shingle), "text", _SKETCH, binary=True, size=64), "sketches")
     found = _similar_components(sketches, texts.select("text_key", "text"), shingle, least)
     # the row to stay: of the smallest id, then of the smallest text key
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
