@@ -198,3 +198,33 @@ def test_quality_model(spark):
     got = {x["doc_id"]: x for x in quality_model.classify(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
     assert len(got) == 203 and all(got[i]["keep"] == bool(i % 4) for i in range(200))
     assert quality_model.classify(spark.createDataFrame([], "doc_id BIGINT, text STRING")).count() == 0
+
+
+def test_texts_are_looked_up_many_at_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    class Plain:
+        sparkSession = spark
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    asked = []
+
+    def counted(texts):
+        asked.append(len(texts))
+        distinct, which, sizes = lm_score._tokens(texts)
+        assert sizes.tolist() == [len((t or b"").lower().split()) + 1 for t in texts] and which.max() == len(distinct) - 1
+        return distinct, np.bincount(which)
+
+    texts = [f"The {i} of the\tÉ word".encode() if i % 7 else None for i in range(1000)]
+    out = list(lm_score._runs(Plain(), counted, lambda keys: np.zeros(len(keys), np.int64))(iter([pa.RecordBatch.from_arrays([pa.array(texts[at : at + 100])], ["text"]) for at in range(0, 1000, 100)])))
+    keys, counts = lm_score._merged_runs(out[0]["run"].to_pylist())
+    words = [w for t in texts for w in [*(t or b"").lower().split(), None]]
+    assert asked == [1000] and len(out) == 1 and len(keys) == len(set(words)) and int(counts.sum()) == len(words)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True))[lm_score.END] == 1000
+    sizes = []
+    monkeypatch.setattr(lm_score, "arrow_map", lambda df, each, read, schema, binary=False, size=256: sizes.append(size))
+    lm_score.score(None, None)
+    assert sizes[0] >= 4096

@@ -13,6 +13,10 @@ kept to 1/256.
 Counting goes in sorted runs: a task counts its part with sorted arrays and sends each shard a compressed run, and a
 shard's task merges them; nothing is counted on the driver, and no run grows with the input.
 
+Lookups visit one shard after another, and a visit costs about the same for one word as for a hundred. So texts are
+looked up RUN_BYTES or a whole Arrow batch at a time: the number of shards grows with the input, and with small groups of
+texts the visits would grow with its square.
+
 Defined results: null text is the empty text, which has its end only; rows may repeat; null ids count as learned from;
 with nothing to learn from every count is 0, the base is that of an empty count and the score is 0.
 """
@@ -34,20 +38,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, remainder, shared_folder
+from .common import arrow_map, bounded, freed, remainder, shared_folder
 from .elias_fano import EliasFano, mapped, to_bytes
 
 DISCOUNT = 0.75
 STEPS = 256  # quantisation steps to 1 of log10
 SHARD_BYTES = 24_000_000  # text to a shard
-RUN = 2_000_000  # tokens counted to a run
+RUN_BYTES = 8 << 20  # text counted to a run
+BATCH_ROWS = 1 << 14  # texts scored at once, fewer where an Arrow batch ends by bytes
 END = (1 << 64) - 1  # the hash that stands for the end of a text
 
 
-def token_hashes(raw: bytes | None) -> np.ndarray:
-    """64-bit hashes of the words (ASCII case folded, split at ASCII white space) and the end."""
+class _Numbers(dict):
+    """Words numbered in the order they come."""
+
+    def __missing__(self, word: bytes | None) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts the sorted 64-bit hashes of their different tokens (words, ASCII case folded, split at ASCII white space, and
+    the end), which of them each token is, and the number of tokens by text."""
+    numbers, streams = _Numbers(), []
+    end = numbers[None]
+    for raw in texts:
+        words = (raw or b"").lower().split()
+        stream = np.full(len(words) + 1, end, np.int64)
+        stream[:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        streams.append(stream)
     digest = xxhash.xxh3_64_intdigest
-    return np.array([*map(digest, (raw or b"").lower().split()), END], np.uint64)
+    hashes = np.array([END if w is None else digest(w) for w in numbers], np.uint64)
+    distinct, rank = np.unique(hashes, return_inverse=True)
+    return distinct, rank[np.concatenate(streams)], np.array([len(x) for x in streams])
 
 
 def _packed_run(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -76,14 +99,15 @@ def _merged_runs(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _RUN = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("run", T.BinaryType())])
 
 
-def _runs(texts: DataFrame, keys_of: Callable[[list], np.ndarray], shard_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(shard, run) of the keys that keys_of() makes of texts; shard_of() must not fall as keys rise."""
+def _runs(texts: DataFrame, counted: Callable[[list], tuple[np.ndarray, np.ndarray]], shard_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(shard, run) of the sorted keys and their counts that counted() makes of texts; shard_of() must not fall as keys rise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[bytes | None] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, counts = counted(held)
             held.clear()
             shards, first = np.unique(shard_of(keys), return_index=True)
             ends = [*first[1:], len(keys)]
@@ -91,14 +115,17 @@ def _runs(texts: DataFrame, keys_of: Callable[[list], np.ndarray], shard_of: Cal
             return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "run"])
 
         for batch in batches:
-            values = batch.column(0).cast(pa.binary())
-            for at in range(0, len(values), 128):
-                held.append(keys_of(values.slice(at, 128).to_pylist()))
-                if sum(map(len, held)) >= RUN:
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(raw)
+                size += len(raw or b"") + 16
+                if size >= RUN_BYTES:
                     yield flush()
+                    size = 0
         if held:
             yield flush()
+        freed()
 
+    bounded(texts)
     return texts.mapInArrow(run, _RUN)
 
 
@@ -271,10 +298,9 @@ def _counts_of(model: Model, ids: np.ndarray) -> np.ndarray:
 
 def _batch(words: Words, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of texts: ids, counts, and the number of tokens by text."""
-    streams = [token_hashes(t) for t in texts]
-    distinct, which = np.unique(np.concatenate(streams), return_inverse=True)
+    distinct, which, sizes = _tokens(texts)
     ids, counts = words.find(distinct)
-    return ids[which], counts[which], np.array([len(s) for s in streams])
+    return ids[which], counts[which], sizes
 
 
 def _contexts(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
@@ -291,7 +317,12 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
     bits = max(0, (int(size) // SHARD_BYTES).bit_length())
     folder = f"{shared_folder(rows.sparkSession)}/ngrams-{uuid.uuid4().hex}"
     plain = Model(folder, bits, (0,) * ((1 << bits) + 1), 0, 0)
-    runs = _runs(texts, lambda t: np.concatenate([token_hashes(x) for x in t]), plain.shard_of_hash)
+
+    def words_of(t: list) -> tuple[np.ndarray, np.ndarray]:
+        distinct, which, _ = _tokens(t)
+        return distinct, np.bincount(which, minlength=len(distinct))
+
+    runs = _runs(texts, words_of, plain.shard_of_hash)
     stats = {r["shard"]: r for r in runs.groupBy("shard").applyInPandas(_write_words(folder), _STATS).collect()}
     bases = np.concatenate(([0], np.cumsum([stats[s]["types"] if s in stats else 0 for s in range(1 << bits)])))
     model = Model(folder, bits, tuple(bases.tolist()), sum(r["tokens"] for r in stats.values()), sum(r["hapax"] for r in stats.values()))
@@ -301,11 +332,11 @@ def train(rows: DataFrame, text_col: str = "text") -> Model:
         raise ValueError("more than 2^32 distinct words: ids no longer fit half a key")
     opened: list[Words] = []
 
-    def pairs(t: list) -> np.ndarray:
+    def pairs(t: list) -> tuple[np.ndarray, np.ndarray]:
         if not opened:
             opened.append(Words(model))
         ids, _, sizes = _batch(opened[0], t)
-        return _contexts(ids, sizes, model.types).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+        return np.unique(_contexts(ids, sizes, model.types).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
 
     runs = _runs(texts, pairs, lambda keys: model.shard_of_id((keys >> np.uint64(32)).astype(np.int64)))
     # every shard is written, for contexts without children too: an empty run each
@@ -348,7 +379,7 @@ def _scorer(model: Model):
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with its text column replaced by the columns of SCORES. One narrow pass."""
-    return arrow_map(df, _scorer(model), text_col, SCORES, binary=True)
+    return arrow_map(df, _scorer(model), text_col, SCORES, binary=True, size=BATCH_ROWS)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
