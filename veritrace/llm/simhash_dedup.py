@@ -47,7 +47,8 @@ STAGE_SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 TILE = 2000  # members of a slice of a list
-REMEMBERED = 64  # texts whose shingles a task keeps
+REMEMBERED = 64  # texts whose shingles a task keeps,
+KEPT = 1 << 21  # and shingles it keeps for a group's pairs
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
 
@@ -210,6 +211,28 @@ def _similar(shingle: int, least: float):
     return run
 
 
+def _all_similar(shingle: int, least: float):
+    """Which of many pairs of texts are alike; sets are kept until they hold KEPT shingles."""
+
+    def run(left: list, right: list) -> np.ndarray:
+        sets: dict[str, np.ndarray] = {}
+        held = 0
+
+        def of(text: str) -> np.ndarray:
+            nonlocal held
+            if text not in sets:
+                if held >= KEPT:
+                    sets.clear()
+                    held = 0
+                sets[text] = np.unique(np.array(shingle_hashes(text.encode("utf-8", "replace"), shingle), np.uint64))
+                held += len(sets[text])
+            return sets[text]
+
+        return np.array([alike(of(a), of(b), least) for a, b in zip(left, right, strict=True)], bool)
+
+    return run
+
+
 def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, least: float, bits: int = BITS) -> DataFrame:
     """(text_key, root) of the texts that have a near copy. sketches: text_key, fp, bands; texts: text_key, text."""
     # texts whose SimHashes the index connects are one more list, however far a chain of links goes
@@ -219,7 +242,7 @@ def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, lea
     lists = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").cast("int").alias("n")).where("n > 1")
     members = materialize(keys.join(lists, "key").withColumn("near", F.col("node") != F.col("first")), "near-members")
     wanted = members.select(F.col("node").alias("text_key")).distinct()
-    copies = materialize(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), "near-texts")
+    copies = materialize(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).withColumn("size", F.octet_length("text")), "near-texts")
     left, right = (copies.select(F.col("text_key").alias(k), F.col("text").alias(t)) for k, t in (("a", "left"), ("b", "right")))
 
     def edges(pairs: DataFrame) -> DataFrame:
@@ -228,7 +251,8 @@ def _similar_components(sketches: DataFrame, texts: DataFrame, shingle: int, lea
         return joined.mapInArrow(_similar(shingle, least), "a BIGINT, b BIGINT")
 
     # that they share a band is all that is known of two members
-    found = linked(members, edges, (), lambda one, other: one["node"] != other["node"], TILE, "near")
+    said = copies.select(F.col("text_key").alias("node"), "text", "size")
+    found = linked(members, edges, said, _all_similar(shingle, least), (), lambda one, other: one["node"] != other["node"], TILE, "near")
     forget(members)
     forget(copies)
     return found.withColumnRenamed("node", "text_key")
