@@ -32,6 +32,20 @@ def url_lookup(wanted: DataFrame, urls: DataFrame) -> DataFrame:
     return w.join(u.drop("path", "http") if "path" in urls.columns else u, match, "left").drop("_wanted", "_asked", "_norm", "_verb")
 
 
+def url_hits(wanted: DataFrame, urls: DataFrame) -> DataFrame:
+    """wanted (path, http) with n_hits and first_hit, the least ord, of what url_lookup() would find in urls (key, ord).
+
+    Endpoints are counted by path and verb before they are met, so that a path of many endpoints is a row for each verb.
+    """
+    u = urls.groupBy(X.norm_url(X.key_path(F.col("key"))).alias("_norm"), X.key_verb(F.col("key")).alias("_verb")).agg(F.count("ord").alias("_n"), F.min("ord").alias("_first"))
+    n = u.groupBy("_norm").agg(F.map_from_entries(F.collect_list(F.struct("_verb", F.struct("_n", "_first")))).alias("_verbs"))
+    asked = F.upper(X.strip(F.coalesce(F.col("http"), F.lit(""))))
+    rows = wanted.join(n, X.norm_url(F.col("path")) == F.col("_norm"), "left")
+    fit = F.map_values(F.map_filter("_verbs", lambda verb, _: asked.isin("", "ANY") | verb.isin("ANY") | (verb == asked)))
+    count = F.aggregate(fit, F.lit(0).cast("bigint"), lambda acc, x: acc + x["_n"])
+    return rows.select(*wanted.columns, F.coalesce(count, F.lit(0)).alias("n_hits"), F.array_min(F.transform(fit, lambda x: x["_first"])).alias("first_hit"))
+
+
 def register_urls(bases: DataFrame, subs: DataFrame, keys: list[str]) -> DataFrame:
     """key, path of every base path × sub path of one owner: bases (keys, base), subs (keys, sub, http)."""
     if not keys:
