@@ -48,3 +48,9 @@ def test_paths_are_normalised_in_single_steps(spark, path, norm):
     rows = spark.createDataFrame([(path,)], "path STRING").select(X.norm_url(F.col("path")).alias("norm"))
     assert rows.first()["norm"] == norm
     assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 6
+
+
+def test_only_codes_that_are_called_so_are_listed(spark, tmp_path):
+    keys = spark.createDataFrame([(n,) for n in (1, 2, 9999, 10000, 10001, 12345, 89999, 90001, 99999, 100001)], "p_partkey BIGINT")
+    keys.selectExpr("p_partkey", "'blue red' AS p_name", "'Brand#12' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    same_as_sql(spark, tmp_path, "identifier_extract")
